@@ -46,7 +46,11 @@ def nfkc(text: Column, fold: bool = True) -> Column:
     ``fold=False`` skips it where the caller knows the text is already composed; the expression
     then stays entirely inside the JVM.
     """
-    return _nfkc(text) if fold else text
+    if not fold:
+        return text
+    # pure ASCII is its own normal form: such rows cross to Python as null only
+    wide = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.coalesce(_nfkc(wide), text)
 
 
 def collapse(text: Column) -> Column:
@@ -90,10 +94,14 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
             F.array().cast("array<int>")
         )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        parts.append(F.transform(starts, _joined_slice(tokens, n)))
     return F.concat(*parts)
 
 
+def _joined_slice(tokens: Column, n: int):
+    return lambda start: F.array_join(F.slice(tokens, start, n), " ")
+
+
 def trim_edges(text: Column) -> Column:
     """Strip the punctuation a printed value may carry at either end."""
     cls = f"[{V.EDGE_PUNCTUATION}]+"

@@ -20,6 +20,11 @@ NORMALIZED_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in NORMALIZED_FIELDS)
 BOX_TYPE = "struct<x:int,y:int,width:int,height:int>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(**values: Column) -> Column:
     """A reading struct; parts that are not given are null."""
     return F.struct(*[
@@ -39,10 +44,14 @@ def uncertain(reason: Column | str, **values: Column) -> Column:
 def mark_uncertain(value: Column, reason: Column | str) -> Column:
     """Flag a reading and append the reason once."""
     text = F.lit(reason) if isinstance(reason, str) else reason
-    known = F.coalesce(value["uncertainty_reasons"], F.array().cast("array<string>"))
-    return value.withField("uncertain", F.lit(True)).withField(
-        "uncertainty_reasons", F.array_union(known, F.array(text))
-    )
+
+    def flag(v):
+        known = F.coalesce(v["uncertainty_reasons"], F.array().cast("array<string>"))
+        return v.withField("uncertain", F.lit(True)).withField(
+            "uncertainty_reasons", F.array_union(known, F.array(text))
+        )
+
+    return let(value, flag)
 
 
 def is_uncertain(value: Column) -> Column:
@@ -107,25 +116,31 @@ def unit_family(unit: Column) -> Column:
 
 def normalise_quantity(value_text: Column, unit_text: Column, pack_text: Column | None = None) -> Column:
     """Quantity with an exact base value in g or ml; count units have none; anything else is uncertain."""
-    unit = unit_form(unit_text)
-    value = parse_decimal(value_text)
     pack_text = F.lit(None).cast("string") if pack_text is None else F.when(F.length(pack_text) > 0, pack_text)
-    pack = parse_decimal(pack_text)
-    bad_pack = pack_text.isNotNull() & ~F.coalesce(pack > 0, F.lit(False))
-    family = unit_family(unit_text)
-    factor = F.coalesce(_factor(unit, V.MASS_UNITS), _factor(unit, V.VOLUME_UNITS))
-    total = (value * factor).cast("decimal(36,12)") * F.coalesce(pack, F.lit(1)).cast("decimal(4,0)")
-    parts = dict(quantity=value, unit=unit, pack_count=pack)
-    return (
-        F.when(value.isNull(), uncertain(decimal_reason(value_text), unit=F.when(F.length(unit) > 0, unit)))
-        .when(bad_pack, uncertain("multi-pack count could not be parsed", quantity=value, unit=unit))
-        .when(family.isin("mass", "volume"), certain(
-            measure=family, base_quantity=total,
-            base_unit=F.when(family == "mass", F.lit("g")).otherwise(F.lit("ml")), **parts))
-        .when(family == "count", certain(measure=family, **parts))
-        .otherwise(uncertain("unrecognised unit", **parts))
+    parts = F.struct(
+        parse_decimal(value_text).alias("value"), decimal_reason(value_text).alias("reason"),
+        unit_form(unit_text).alias("unit"), unit_family(unit_text).alias("family"),
+        pack_text.isNotNull().alias("packed"), parse_decimal(pack_text).alias("pack"),
     )
 
+    def build(p):
+        value, unit, family = p["value"], p["unit"], p["family"]
+        bad_pack = p["packed"] & ~F.coalesce(p["pack"] > 0, F.lit(False))
+        factor = F.coalesce(_factor(unit, V.MASS_UNITS), _factor(unit, V.VOLUME_UNITS))
+        total = (value * factor).cast("decimal(36,12)") * F.coalesce(p["pack"], F.lit(1)).cast("decimal(4,0)")
+        read = dict(quantity=value, unit=unit, pack_count=p["pack"])
+        return (
+            F.when(value.isNull(), uncertain(p["reason"], unit=F.when(F.length(unit) > 0, unit)))
+            .when(bad_pack, uncertain("multi-pack count could not be parsed", quantity=value, unit=unit))
+            .when(family.isin("mass", "volume"), certain(
+                measure=family, base_quantity=total,
+                base_unit=F.when(family == "mass", F.lit("g")).otherwise(F.lit("ml")), **read))
+            .when(family == "count", certain(measure=family, **read))
+            .otherwise(uncertain("unrecognised unit", **read))
+        )
+
+    return let(parts, build)
+
 
 def _decimals(text: Column) -> Column:
     cleaned = _digits(text)
@@ -140,30 +155,37 @@ def price_text(amount_text: Column) -> Column:
 
 
 def normalise_price(amount_text: Column, inclusive: Column | None = None, currency: str = "INR") -> Column:
-    value = parse_decimal(amount_text)
     cur = F.lit(currency)
     tax = F.lit(None).cast("boolean") if inclusive is None else inclusive
-    return (
-        F.when(value.isNull(), uncertain(decimal_reason(amount_text), currency=cur))
-        .when(_decimals(amount_text) > 2, uncertain(
-            "more decimal places than a retail price carries", currency=cur,
-            candidates=F.array(price_text(amount_text))))
-        .otherwise(certain(amount=price_text(amount_text), currency=cur, inclusive_of_all_taxes=tax))
+    parts = F.struct(
+        parse_decimal(amount_text).alias("value"), decimal_reason(amount_text).alias("reason"),
+        _decimals(amount_text).alias("decimals"), price_text(amount_text).alias("text"), tax.alias("tax"),
     )
+    return let(parts, lambda p: (
+        F.when(p["value"].isNull(), uncertain(p["reason"], currency=cur))
+        .when(p["decimals"] > 2, uncertain(
+            "more decimal places than a retail price carries", currency=cur, candidates=F.array(p["text"])))
+        .otherwise(certain(amount=p["text"], currency=cur, inclusive_of_all_taxes=p["tax"]))
+    ))
 
 
 def normalise_unit_price(amount_text: Column, unit_text: Column, currency: str = "INR") -> Column:
     """A price tied to one unit of measure.  The amount is never converted to another unit."""
-    unit = unit_form(unit_text)
-    family = unit_family(unit_text)
-    price = normalise_price(amount_text, currency=currency)
-    with_unit = price.withField("per_unit", F.when(F.length(unit) > 0, unit))
-    return (
-        F.when(price["uncertain"], with_unit)
-        .when(family.isNull(), mark_uncertain(with_unit, "unrecognised unit"))
-        .otherwise(with_unit.withField("per_measure", family))
+    parts = F.struct(
+        unit_form(unit_text).alias("unit"), unit_family(unit_text).alias("family"),
+        normalise_price(amount_text, currency=currency).alias("price"),
     )
 
+    def build(p):
+        with_unit = p["price"].withField("per_unit", F.when(F.length(p["unit"]) > 0, p["unit"]))
+        return (
+            F.when(p["price"]["uncertain"], with_unit)
+            .when(p["family"].isNull(), mark_uncertain(with_unit, "unrecognised unit"))
+            .otherwise(with_unit.withField("per_measure", p["family"]))
+        )
+
+    return let(parts, build)
+
 
 # --- dates -----------------------------------------------------------------------------------
 
@@ -196,73 +218,78 @@ def _iso(year: Column, month: Column, day: Column | None = None) -> Column:
 
 def numeric_date(first: Column, second: Column, year_text: Column) -> Column:
     """Two numbers and a year.  Both orders valid means both are reported and none is chosen."""
-    a, b, year = _number(first), _number(second), _year(year_text)
-    day_month, month_day = _valid_day(a, b, year), _valid_day(b, a, year)
-    return (
-        F.when(year.isNull(), uncertain("not a usable year"))
-        .when(a.isNull() | b.isNull(), uncertain("date components could not be read as numbers"))
-        .when(day_month & month_day, uncertain(
+    numbers = F.struct(_number(first).alias("a"), _number(second).alias("b"), _year(year_text).alias("year"))
+    orders = let(numbers, lambda n: F.struct(
+        n["a"].alias("a"), n["b"].alias("b"), n["year"].alias("year"),
+        _valid_day(n["a"], n["b"], n["year"]).alias("day_month"),
+        _valid_day(n["b"], n["a"], n["year"]).alias("month_day"),
+        _iso(n["year"], n["b"], n["a"]).alias("as_day_month"), _iso(n["year"], n["a"], n["b"]).alias("as_month_day"),
+    ))
+    return let(orders, lambda o: (
+        F.when(o["year"].isNull(), uncertain("not a usable year"))
+        .when(o["a"].isNull() | o["b"].isNull(), uncertain("date components could not be read as numbers"))
+        .when(o["day_month"] & o["month_day"], uncertain(
             "both DD/MM and MM/DD are valid readings of this date",
-            candidates=F.array(_iso(year, b, a), _iso(year, a, b))))
-        .when(day_month, certain(date=_iso(year, b, a)))
-        .when(month_day, certain(date=_iso(year, a, b)))
+            candidates=F.array(o["as_day_month"], o["as_month_day"])))
+        .when(o["day_month"], certain(date=o["as_day_month"]))
+        .when(o["month_day"], certain(date=o["as_month_day"]))
         .otherwise(uncertain("not a valid calendar date"))
-    )
+    ))
 
 
 def month_year_date(month_text: Column, year_text: Column) -> Column:
-    month, year = _number(month_text), _year(year_text)
-    return F.when(
-        F.coalesce(month.between(1, 12) & year.isNotNull(), F.lit(False)), certain(year_month=_iso(year, month))
-    ).otherwise(uncertain("not a usable month and year"))
+    parts = F.struct(_number(month_text).alias("month"), _year(year_text).alias("year"))
+    return let(parts, lambda p: F.when(
+        F.coalesce(p["month"].between(1, 12) & p["year"].isNotNull(), F.lit(False)),
+        certain(year_month=_iso(p["year"], p["month"])),
+    ).otherwise(uncertain("not a usable month and year")))
 
 
 def named_month_date(day_text: Column, month_name: Column, year_text: Column) -> Column:
     months = F.create_map(*[x for name, n in V.MONTHS.items() for x in (F.lit(name), F.lit(n))])
-    month = F.try_element_at(months, unit_form(month_name))
-    year, day = _year(year_text), _number(day_text)
-    has_day = F.coalesce(F.length(day_text) > 0, F.lit(False))
-    return (
-        F.when(year.isNull(), uncertain("not a usable year"))
-        .when(month.isNull(), uncertain("unrecognised month name"))
-        .when(has_day & _valid_day(day, month, year), certain(date=_iso(year, month, day)))
-        .when(has_day, uncertain("not a valid day of the month"))
-        .otherwise(certain(year_month=_iso(year, month)))
+    parts = F.struct(
+        F.try_element_at(months, unit_form(month_name)).alias("month"), _year(year_text).alias("year"),
+        _number(day_text).alias("day"), F.coalesce(F.length(day_text) > 0, F.lit(False)).alias("has_day"),
     )
+    return let(parts, lambda p: (
+        F.when(p["year"].isNull(), uncertain("not a usable year"))
+        .when(p["month"].isNull(), uncertain("unrecognised month name"))
+        .when(p["has_day"] & _valid_day(p["day"], p["month"], p["year"]),
+              certain(date=_iso(p["year"], p["month"], p["day"])))
+        .when(p["has_day"], uncertain("not a valid day of the month"))
+        .otherwise(certain(year_month=_iso(p["year"], p["month"])))
+    ))
 
 
 def normalise_duration(count_text: Column, unit_text: Column) -> Column:
     """A shelf life stays a value and a unit; no date is computed from it."""
-    count = parse_decimal(count_text)
-    unit = F.regexp_replace(F.lower(F.trim(unit_text)), r"[s.]+$", "")
-    return (
-        F.when(~F.coalesce(count > 0, F.lit(False)), uncertain("duration could not be parsed"))
-        .when(unit.isin("day", "week", "month", "year"),
-              certain(duration_value=count, duration_unit=F.concat(unit, F.lit("s"))))
-        .otherwise(uncertain("unrecognised duration unit"))
+    parts = F.struct(
+        parse_decimal(count_text).alias("count"), F.regexp_replace(F.lower(F.trim(unit_text)), r"[s.]+$", "").alias("unit")
     )
+    return let(parts, lambda p: (
+        F.when(~F.coalesce(p["count"] > 0, F.lit(False)), uncertain("duration could not be parsed"))
+        .when(p["unit"].isin("day", "week", "month", "year"),
+              certain(duration_value=p["count"], duration_unit=F.concat(p["unit"], F.lit("s"))))
+        .otherwise(uncertain("unrecognised duration unit"))
+    ))
 
 
 def date_in(text: Column) -> Column:
     """The first date or shelf life in ``text``: ISO, named month, numeric, month/year, duration."""
     from attesta.functions.text import ci
 
-    def groups(pattern, *indexes):
-        return [F.regexp_extract(text, ci(pattern), i) for i in indexes]
-
-    found = lambda pattern: text.rlike(ci(pattern))
-    year, month, day = groups(V.ISO_DATE, 1, 2, 3)
-    n_day, n_month, n_year = groups(V.NAMED_MONTH_DATE, 1, 2, 3)
-    a, b, y = groups(V.NUMERIC_DATE, 1, 2, 3)
-    m, my = groups(V.MONTH_YEAR_DATE, 1, 2)
-    count, unit = groups(V.DURATION, 1, 2)
-    return (
-        F.when(found(V.ISO_DATE), numeric_date(day, month, year))
-        .when(found(V.NAMED_MONTH_DATE), named_month_date(n_day, n_month, n_year))
-        .when(found(V.NUMERIC_DATE), numeric_date(a, b, y))
-        .when(found(V.MONTH_YEAR_DATE), month_year_date(m, my))
-        .when(found(V.DURATION), normalise_duration(count, unit))
-    )
+    def read(source):
+        found = lambda pattern: source.rlike(ci(pattern))
+        group = lambda pattern, index: F.regexp_extract(source, ci(pattern), index)
+        return (
+            F.when(found(V.ISO_DATE), numeric_date(group(V.ISO_DATE, 3), group(V.ISO_DATE, 2), group(V.ISO_DATE, 1)))
+            .when(found(V.NAMED_MONTH_DATE), named_month_date(*[group(V.NAMED_MONTH_DATE, n) for n in (1, 2, 3)]))
+            .when(found(V.NUMERIC_DATE), numeric_date(*[group(V.NUMERIC_DATE, n) for n in (1, 2, 3)]))
+            .when(found(V.MONTH_YEAR_DATE), month_year_date(group(V.MONTH_YEAR_DATE, 1), group(V.MONTH_YEAR_DATE, 2)))
+            .when(found(V.DURATION), normalise_duration(group(V.DURATION, 1), group(V.DURATION, 2)))
+        )
+
+    return let(text, read)
 
 
 # --- evidence quality ------------------------------------------------------------------------

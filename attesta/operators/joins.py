@@ -1,0 +1,18 @@
+"""Join helpers that check a size before they rely on it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SMALL_ROWS = 5_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a bounded count shows it has at most ``max_rows`` rows.
+
+    Beyond the bound the frame is returned unhinted: Spark shuffles the join and splits skewed
+    partitions at run time.  The count reads at most ``max_rows + 1`` rows.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta.functions import values as N
 from attesta.operators import applicability as A, checks as C, readings as R, rules as RU, verdict as VD
+from attesta.operators.joins import broadcast_if_small
 
 
 @dataclass
@@ -76,7 +77,7 @@ def candidate_findings(data: Inspections, framework: Framework, on) -> DataFrame
     runs = data.runs.withColumnRenamed("status", "run_status").withColumnRenamed("image_id", "run_image_id")
     rows = (
         runs.join(products, "product_id", "left")
-        .join(rule_plan(framework, lineage, on), "category_code", "left")
+        .join(broadcast_if_small(rule_plan(framework, lineage, on).persist()), "category_code", "left")
         .join(R.reading_maps(data.readings), "run_id", "left")
         .withColumn("scope", A.scope(F.col("gates"), F.col("answers"), F.col("lineage")))
         .withColumn("rule", F.explode_outer("rules"))
