@@ -10,6 +10,11 @@ from pyspark.sql import Column, functions as F, types as ST
 from attesta import vocabulary as V
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often (or per element) the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ci(pattern: str) -> str:
     """Case-insensitive, Unicode-aware form of a pattern (Java flags)."""
     return f"(?iU)(?:{pattern})"
@@ -86,16 +91,19 @@ def feature_tokens(cleaned: Column) -> Column:
 
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All n-grams of ``tokens`` for n in low..high, by n then by start."""
-    parts = []
-    for n in range(low, high + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, _joined_slice(tokens, n)))
-    return F.concat(*parts)
+    def build(tokens):
+        parts = []
+        for n in range(low, high + 1):
+            if n == 1:
+                parts.append(tokens)
+                continue
+            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
+                F.array().cast("array<int>")
+            )
+            parts.append(F.transform(starts, _joined_slice(tokens, n)))
+        return F.concat(*parts)
+
+    return let(tokens, build)
 
 
 def _joined_slice(tokens: Column, n: int):
@@ -121,12 +129,14 @@ def duplicate_form(text: Column) -> Column:
 
 def value_matches(expected: Column, values: Column, evidence: Column, fold: bool = True) -> Column:
     """Equal to any comparable value, or contained in the evidence line.  No unit conversion."""
-    target = comparison_form(expected, fold)
-    equal = F.exists(values, lambda v: comparison_form(v, False) == target)
-    return (F.length(target) > 0) & (
-        F.coalesce(equal, F.lit(False))
-        | F.coalesce(F.contains(comparison_form(evidence, fold), target), F.lit(False))
-    )
+    def test(target):
+        equal = F.exists(values, lambda v: comparison_form(v, False) == target)
+        return (F.length(target) > 0) & (
+            F.coalesce(equal, F.lit(False))
+            | F.coalesce(F.contains(comparison_form(evidence, fold), target), F.lit(False))
+        )
+
+    return let(comparison_form(expected, fold), test)
 
 
 def machine_marker(name: Column) -> Column:
@@ -172,18 +182,15 @@ def word_levenshtein(left: Column, right: Column) -> Column:
     runs over the two encoded strings.  A pair with more distinct words than code points goes
     through the exact Arrow path instead.
     """
+    def encoded(words):
+        symbol = lambda w: F.decode(
+            F.unhex(F.lpad(F.hex(F.lit(57343) + F.array_position(words, w)), 4, "0")), "utf-16be")
+        encode = lambda side: F.array_join(F.transform(side, symbol), "")
+        return F.levenshtein(encode(left), encode(right))
+
     words = F.array_distinct(F.concat(left, right))
-    encode = lambda side: F.array_join(
-        F.transform(
-            side,
-            lambda w: F.decode(
-                F.unhex(F.lpad(F.hex(F.lit(57343) + F.array_position(words, w)), 4, "0")), "utf-16be"
-            ),
-        ),
-        "",
-    )
     short = F.size(words) <= _MAX_SYMBOLS
-    return F.when(short, F.levenshtein(encode(left), encode(right))).otherwise(
+    return F.when(short, let(words, encoded)).otherwise(
         _word_distance(F.when(~short, left), F.when(~short, right))
     )
 

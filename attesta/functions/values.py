@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from attesta import vocabulary as V
+from attesta.functions.text import ci, let
 
 NORMALIZED_FIELDS = (
     ("uncertain", "boolean"), ("uncertainty_reasons", "array<string>"), ("candidates", "array<string>"),
@@ -20,11 +21,6 @@ NORMALIZED_TYPE = "struct<" + ",".join(f"{n}:{t}" for n, t in NORMALIZED_FIELDS)
 BOX_TYPE = "struct<x:int,y:int,width:int,height:int>"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normalized(**values: Column) -> Column:
     """A reading struct; parts that are not given are null."""
     return F.struct(*[
@@ -276,8 +272,6 @@ def normalise_duration(count_text: Column, unit_text: Column) -> Column:
 
 def date_in(text: Column) -> Column:
     """The first date or shelf life in ``text``: ISO, named month, numeric, month/year, duration."""
-    from attesta.functions.text import ci
-
     def read(source):
         found = lambda pattern: source.rlike(ci(pattern))
         group = lambda pattern, index: F.regexp_extract(source, ci(pattern), index)

@@ -56,7 +56,7 @@ def _candidate(key, raw, value: Column, matched_by, signature) -> Column:
     """``signature`` is a function of the normalised value: what two candidates are compared on."""
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     by = lit(matched_by)
-    return N.let(value, lambda v: F.struct(
+    return T.let(value, lambda v: F.struct(
         lit(key).alias("key"), raw.alias("raw_value"), v.withField("matched_by", by).alias("normalized"),
         by.alias("matched_by"), signature(v).cast("string").alias("signature"),
     ).cast(CANDIDATE_TYPE))
@@ -114,7 +114,7 @@ def retail_sale_price(text: Column) -> Column:
     found = F.struct(amount.alias("amount"), keyword.alias("keyword"), pair.alias("pair"), inclusive.alias("inclusive"))
 
     def build(f):
-        value = N.let(N.normalise_price(f["amount"], f["inclusive"]), lambda v: (
+        value = T.let(N.normalise_price(f["amount"], f["inclusive"]), lambda v: (
             F.when(f["keyword"], v)
             .when(f["pair"], N.mark_uncertain(
                 N.mark_uncertain(v, "no retail-price keyword on this line"),
@@ -124,7 +124,7 @@ def retail_sale_price(text: Column) -> Column:
         by = F.when(f["keyword"], F.lit(KEYWORD)).otherwise(F.lit(PATTERN))
         return _one(_candidate("retail_sale_price", text, value, by, lambda v: v["amount"]), f["amount"].isNotNull())
 
-    return F.when(~T.hit(text, V.NON_MRP_CONTEXT), N.let(found, build))
+    return F.when(~T.hit(text, V.NON_MRP_CONTEXT), T.let(found, build))
 
 
 def unit_sale_price(text: Column) -> Column:
@@ -137,18 +137,18 @@ def unit_sale_price(text: Column) -> Column:
         F.when(keyword & priced(after), after).when(keyword & priced(before) & currency(before), before)
         .when(~keyword & ~T.hit(text, V.MRP_KEYWORD) & priced(text) & currency(text), text)
     )
-    parts = N.let(source, lambda x: F.when(x.isNotNull(), F.struct(
+    parts = T.let(source, lambda x: F.when(x.isNotNull(), F.struct(
         _first_group(x, V.PER_UNIT_PRICE, 2).alias("amount"), _first_group(x, V.PER_UNIT_PRICE, 3).alias("unit"),
         keyword.alias("keyword"))))
 
     def build(p):
-        value = N.let(N.normalise_unit_price(p["amount"], p["unit"]), lambda v: F.when(p["keyword"], v).otherwise(
+        value = T.let(N.normalise_unit_price(p["amount"], p["unit"]), lambda v: F.when(p["keyword"], v).otherwise(
             N.mark_uncertain(v, "no unit-sale-price keyword on this line")))
         by = F.when(p["keyword"], F.lit(KEYWORD)).otherwise(F.lit(PATTERN))
         return _one(
             _candidate("unit_sale_price", text, value, by, lambda v: _signature(v["amount"], v["per_unit"])), p.isNotNull())
 
-    return F.when(~T.hit(text, V.NON_DECLARATION_CONTEXT), N.let(parts, build))
+    return F.when(~T.hit(text, V.NON_DECLARATION_CONTEXT), T.let(parts, build))
 
 
 def batch_number(text: Column) -> Column:
@@ -158,7 +158,7 @@ def batch_number(text: Column) -> Column:
         value = value.otherwise(N.certain(batch_number=code))
         return _one(_candidate("batch_number", text, value, KEYWORD, lambda v: code), code.rlike(r"\d"))
 
-    return N.let(T.trim_edges(_first_group(text, V.BATCH_NUMBER, 1)), build)
+    return T.let(T.trim_edges(_first_group(text, V.BATCH_NUMBER, 1)), build)
 
 
 def dates(text: Column, next_text: Column) -> Column:
@@ -181,7 +181,7 @@ def dates(text: Column, next_text: Column) -> Column:
                 shelf = v["duration_value"].isNotNull() | v["duration_unit"].isNotNull()
                 return F.when(~shelf | (entry["key"] == "best_before"), v)
 
-            return N.let(N.date_in(source), keep)
+            return T.let(N.date_in(source), keep)
 
         def build(r):
             own, below = r["own"], r["below"]
@@ -192,7 +192,7 @@ def dates(text: Column, next_text: Column) -> Column:
                 N.plain_number(v["duration_value"].cast("decimal(18,6)")), v["duration_unit"]))
             return F.when(own.isNotNull() | below.isNotNull(), _candidate(entry["key"], raw, value, KEYWORD, sign))
 
-        return N.let(F.struct(read(entry["own"]).alias("own"), read(entry["next"]).alias("below")), build)
+        return T.let(F.struct(read(entry["own"]).alias("own"), read(entry["next"]).alias("below")), build)
 
     found = F.filter(F.array(*entries), lambda e: e["hit"])
     return F.filter(F.transform(found, one), lambda c: c.isNotNull())
@@ -211,7 +211,7 @@ def country_of_origin(text: Column) -> Column:
         return _one(_candidate("country_of_origin", text, value, KEYWORD, lambda v: F.lower(v["country_text"])),
                     F.length(f["country"]) > 0)
 
-    return N.let(found, build)
+    return T.let(found, build)
 
 
 def names(text: Column, next_text: Column, read_next: bool = True) -> Column:
@@ -230,17 +230,17 @@ def names(text: Column, next_text: Column, read_next: bool = True) -> Column:
 
     for key, pattern in V.NAME_DECLARATIONS:
         own = T.trim_edges(F.regexp_extract(text, T.ci(pattern), 1))
-        options.append(F.when(T.hit(text, pattern), N.let(own, choose(key))))
+        options.append(F.when(T.hit(text, pattern), T.let(own, choose(key))))
 
     def build(pick):
-        value = N.let(N.uncertain(
+        value = T.let(N.uncertain(
             "the name may continue on following lines; the address is not read", name=pick["name"],
             declaration=F.when(pick["key"] == "other", F.lit("marketed_by"))),
             lambda v: F.when(pick["next"], N.mark_uncertain(v, "read from the line after the keyword")).otherwise(v))
         raw = F.when(pick["next"], F.concat_ws(" ", text, next_text)).otherwise(text)
         return _one(_candidate(pick["key"], raw, value, KEYWORD, lambda v: F.lower(v["name"])), pick.isNotNull())
 
-    return N.let(F.coalesce(*options), build)
+    return T.let(F.coalesce(*options), build)
 
 
 def line_candidates(lines: DataFrame, require_quantity_keyword: bool = True) -> DataFrame:
@@ -416,7 +416,6 @@ def signal_hits(cleaned: Column, context: int = 40) -> Column:
 
 def label_signals(texts: DataFrame, key: str, text: str, limit: int = 6, fold: bool = True) -> DataFrame:
     """The first signals of each text.  The list is cut inside the row; no per-text window."""
-    hits = F.slice(signal_hits(F.col("_cleaned")), 1, limit)
-    return texts.withColumn("_cleaned", T.preprocess_text(F.col(text), fold)).select(
-        key, F.posexplode(hits).alias("rank", "s")).select(
+    hits = T.let(T.preprocess_text(F.col(text), fold), lambda cleaned: F.slice(signal_hits(cleaned), 1, limit))
+    return texts.select(key, F.posexplode(hits).alias("rank", "s")).select(
         key, F.col("rank"), "s.position", "s.phrase", "s.indicative_of", "s.snippet")

@@ -403,8 +403,9 @@ def word_token_counts(i):
 
 @query("ngram_feature_counts", rf"""
 WITH t AS (SELECT doc_id, list_transform({_TOK}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END) AS k FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
-u AS (SELECT doc_id, unnest(k) AS term FROM t UNION ALL
-      SELECT doc_id, concat(k[i], ' ', k[i + 1]) FROM (SELECT doc_id, k, unnest(range(1, len(k))) AS i FROM t))
+w1 AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
+w2 AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM w1),
+u AS (SELECT doc_id, term FROM w1 UNION ALL SELECT doc_id, concat(term, ' ', nxt) FROM w2 WHERE nxt IS NOT NULL)
 SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM u GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
 def ngram_feature_counts(i):
     d = i.table("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("c", T.preprocess_text(F.col("text"), False))

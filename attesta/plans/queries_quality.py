@@ -129,7 +129,7 @@ def text_error_rates(i):
 @query("word_error_rate", f"""
 WITH p AS ({B.duck(_TEXT_PAIRS)}), s AS (SELECT string_split(replace(reference, '  ', ' '), ' ') AS r, string_split(hypothesis, ' ') AS h FROM p WHERE reference IS NOT NULL),
 w AS (SELECT list_distinct(list_concat(r, h)) AS d, r, h FROM s)
-SELECT CAST(sum(levenshtein(list_aggregate(list_transform(h, x -> chr(CAST(64 + list_position(d, x) AS INT))), 'string_agg', ''), list_aggregate(list_transform(r, x -> chr(CAST(64 + list_position(d, x) AS INT))), 'string_agg', ''))) AS BIGINT) AS word_errors,
+SELECT CAST(sum(levenshtein(list_aggregate(list_transform(h, lambda x: chr(CAST(64 + list_position(d, x) AS INT))), 'string_agg', ''), list_aggregate(list_transform(r, lambda x: chr(CAST(64 + list_position(d, x) AS INT))), 'string_agg', ''))) AS BIGINT) AS word_errors,
  CAST(sum(len(r)) AS BIGINT) AS reference_words FROM w""")
 def word_error_rate(i):
     return Q.text_accuracy(i.sql(_TEXT_PAIRS)).select("word_errors", "reference_words")
@@ -224,7 +224,9 @@ def latency_summary(i):
 _ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
 _TOK = r"list_transform(regexp_extract_all(lower(text), '[0-9]+|[a-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END)"
 _TERMS = rf"""WITH t AS (SELECT doc_id, {_TOK} AS k FROM documents WHERE {_ASCII}),
-u AS (SELECT doc_id, unnest(k) AS term FROM t UNION ALL SELECT doc_id, concat(k[i], ' ', k[i + 1]) FROM (SELECT doc_id, k, unnest(range(1, len(k))) AS i FROM t)),
+w1 AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
+w2 AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM w1),
+u AS (SELECT doc_id, term FROM w1 UNION ALL SELECT doc_id, concat(term, ' ', nxt) FROM w2 WHERE nxt IS NOT NULL),
 c AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), n AS (SELECT count(*) AS n FROM t),
 f AS (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= 2) """
 
