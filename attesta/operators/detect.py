@@ -243,14 +243,24 @@ def names(text: Column, next_text: Column, read_next: bool = True) -> Column:
     return T.let(F.coalesce(*options), build)
 
 
-def line_candidates(lines: DataFrame, require_quantity_keyword: bool = True) -> DataFrame:
-    """All candidates of all line detectors: one row per candidate, one scan of the lines."""
+DETECTORS = {
+    "net_quantity": lambda text, below: net_quantity(text),
+    "any_quantity": lambda text, below: net_quantity(text, require_keyword=False),
+    "retail_sale_price": lambda text, below: retail_sale_price(text),
+    "unit_sale_price": lambda text, below: unit_sale_price(text),
+    "batch_number": lambda text, below: batch_number(text),
+    "dates": lambda text, below: dates(text, below),
+    "country_of_origin": lambda text, below: country_of_origin(text),
+    "names": lambda text, below: names(text, below),
+}
+ALL_DETECTORS = tuple(name for name in DETECTORS if name != "any_quantity")
+
+
+def line_candidates(lines: DataFrame, detectors: tuple[str, ...] = ALL_DETECTORS) -> DataFrame:
+    """Candidates of the chosen line detectors: one row per candidate, one scan of the lines."""
     text, below = F.col("text"), F.col("next_text")
     empty = F.array().cast(f"array<{CANDIDATE_TYPE}>")
-    parts = [
-        net_quantity(text, require_quantity_keyword), retail_sale_price(text), unit_sale_price(text),
-        batch_number(text), dates(text, below), country_of_origin(text), names(text, below),
-    ]
+    parts = [DETECTORS[name](text, below) for name in detectors]
     found = F.concat(*[F.coalesce(p, empty) for p in parts])
     rows = lines.select("image_id", "line_index", "confidence", "box", F.posexplode(found).alias("ordinal", "c"))
     return rows.select("image_id", "line_index", "ordinal", "confidence", "box", "c.*")
@@ -371,9 +381,9 @@ def conflicting_values(candidates: DataFrame) -> DataFrame:
         "image_id", F.col("key").alias("field_key"), "signature", "rank", "values")
 
 
-def extract(lines: DataFrame, require_quantity_keyword: bool = True) -> DataFrame:
+def extract(lines: DataFrame, detectors: tuple[str, ...] = ALL_DETECTORS) -> DataFrame:
     """Readings of every label in a line table."""
-    found = line_candidates(lines, require_quantity_keyword).unionByName(contact_candidates(lines))
+    found = line_candidates(lines, detectors).unionByName(contact_candidates(lines))
     return resolve(found)
 
 

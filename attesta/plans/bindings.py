@@ -16,7 +16,7 @@ from attesta import vocabulary as V
 from attesta.functions import values as N
 from attesta.operators import applicability as A, rules as RU
 from attesta.plans.evaluation import Framework, Inspections
-from attesta.session import table
+from attesta.session import spread, table
 
 AS_OF = date(2025, 1, 1)
 
@@ -275,7 +275,7 @@ class Inputs:
 
     @cached_property
     def label_texts(self):
-        return self.sql(LABEL_TEXT, labels_base=self.labels)
+        return spread(self.sql(LABEL_TEXT, labels_base=self.labels))
 
     @cached_property
     def examples(self):

@@ -17,8 +17,9 @@ def _lines(i):
     return D.lines_from_text(i.label_texts, fold=False)
 
 
-def _readings(i, key):
-    return D.resolve(D.line_candidates(_lines(i))).where(F.col("field_key") == key)
+def _readings(i, key, detector=None):
+    """Readings of one declaration: only its own detector runs."""
+    return D.resolve(D.line_candidates(_lines(i), (detector or key,))).where(F.col("field_key") == key)
 
 
 def _reasons():
@@ -88,14 +89,14 @@ SELECT image_id,
        ELSE concat('Mfg Date: ', substr(iso_date, 6, 2), '/', substr(iso_date, 1, 4)) END AS raw_value
 FROM labels_base WHERE date_style < 4""")
 def extract_manufacture_date(i):
-    return _readings(i, "date_of_manufacture").select(
+    return _readings(i, "date_of_manufacture", "dates").select(
         "image_id", "normalized.date", "normalized.year_month",
         F.array_join(F.coalesce("normalized.candidates", F.array()), ",").alias("candidates"), "normalized.uncertain", "raw_value")
 
 
 @query("extract_shelf_life", _BASE + "SELECT image_id, CAST(shelf_months AS DOUBLE) AS duration_value, 'months' AS duration_unit, FALSE AS uncertain FROM labels_base")
 def extract_shelf_life(i):
-    return _readings(i, "best_before").select(
+    return _readings(i, "best_before", "dates").select(
         "image_id", "normalized.duration_value", "normalized.duration_unit", "normalized.uncertain")
 
 
@@ -112,7 +113,7 @@ SELECT image_id, CASE WHEN name_style < 3 THEN 'manufacturer_name' WHEN name_sty
 FROM labels_base""")
 def extract_names(i):
     keys = [k for k, _ in V.NAME_DECLARATIONS]
-    return D.resolve(D.line_candidates(_lines(i))).where(F.col("field_key").isin(*keys)).select(
+    return D.resolve(D.line_candidates(_lines(i), ("names",))).where(F.col("field_key").isin(*keys)).select(
         "image_id", "field_key", "normalized.name", "normalized.declaration", F.size("normalized.uncertainty_reasons").alias("reasons"))
 
 
@@ -160,7 +161,7 @@ SELECT o_custkey AS image_id, o_orderkey AS line_index, concat('Net Qty: ', CAST
 def _shared_candidates(i):
     lines = i.sql(_SHARED).withColumn("confidence", F.col("confidence").cast("double")).withColumn(
         "next_text", F.lit(None).cast("string")).withColumn("box", F.lit(None).cast(N.BOX_TYPE))
-    return D.line_candidates(lines)
+    return D.line_candidates(lines, ("net_quantity",))
 
 
 @query("resolve_conflicting_readings", f"""
