@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as ST
 
 from attesta import vocabulary as V
@@ -215,3 +217,7 @@ def _word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
         return int(row[-1])
 
     return pd.Series([distance(a, b) for a, b in zip(left, right)], dtype="Int32")
+
+
+# the helpers above travel to the workers by value, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
