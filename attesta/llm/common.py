@@ -8,6 +8,8 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -62,6 +64,14 @@ def in_slabs(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose texts (column number ``text``) take about ``limit`` bytes: bounds what a task holds at once."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        for a, b in in_slabs((sizes + 64).tolist(), limit):
+            yield batch.slice(a, b - a)
+
+
 def block_pairs(rows: DataFrame, keys: list[str], item: Column, size: int) -> DataFrame:
     """Split large groups of ``rows`` into blocks and lay out every pair of blocks of one group.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import bpe, caps, mixing, simhash, token_counts, token_file, topk, urls
+from attesta.llm import bpe, caps, mixing, repeats, simhash, token_counts, token_file, topk, toxicity, urls
 from attesta.llm.common import new_path
 from attesta.session import table
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op2_token_file")
 def token_file_query(spark: SparkSession, folder: str) -> DataFrame:
     out = new_path(spark, "token-files")
@@ -62,6 +67,12 @@ def url_query(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.RULES, default="allow")
 
 
+@query("op6_repeats")
+def repeats_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"), width=50)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_mixing", """
     WITH RECURSIVE ids AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1) // 8 AS block FROM documents),
     sizes AS (SELECT source, max(block) + 1 AS n FROM ids GROUP BY source),
