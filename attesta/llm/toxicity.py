@@ -219,15 +219,15 @@ def design(hits: list[list[int]], marks: list[list[int]], size: int) -> np.ndarr
     return x
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps; the penalty draws the weights to ``start``."""
+    w = start.copy()
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     x = x.astype(np.float64)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
+        grad = x.T @ (p - y) + ridge * (w - start)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), grad)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -254,10 +254,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     some = train.where(F.size("hits") > 0).orderBy(*order).limit(fitted // 2).union(train.where(F.size("hits") == 0).orderBy(*order).limit(fitted // 2)).select("hits", "marks").collect()
     hits, marks = [r.hits for r in some], [r.marks for r in some]
     size = len(place)
+    # with next to no rows to learn from, any term at all speaks for the label
+    weights = np.concatenate((np.zeros(size + len(PATTERNS) + 1), [-2 * model.prior, model.prior]))
     if some:
-        weights = fit(design(hits, marks, size), model.posterior(voters(hits, marks, len(found), insults)))
-    else:
-        weights = np.append(np.zeros(size + len(PATTERNS) + 2), model.prior)
+        weights = fit(design(hits, marks, size), model.posterior(voters(hits, marks, len(found), insults)), weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -36,9 +36,9 @@ def url_tokens(host: str, path: str) -> set[str]:
 
 
 def expression(rule: str) -> str:
-    """Regular expression of a rule over host, a line end, and path."""
+    """Regular expression of a rule over host and path, which the first slash parts."""
     host, _, path = rule.partition("/")
-    return rf"(?:[^\n]*\.)?{re.escape(host)}\n/{re.escape(path)}"
+    return rf"(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}"
 
 
 def parts(url: str) -> tuple[F.Column, F.Column]:
@@ -93,7 +93,7 @@ def best_rule(host: str, path: str, index: dict, compiled: dict, found: tuple =
         for rule, verdict, text in index[token]:
             if found[0] is not None and (-len(rule), rule) >= (-len(found[0]), found[0]):
                 continue
-            target = target or f"{host}\n{path}"
+            target = target or host + path
             pattern = compiled.get(text) or compiled.setdefault(text, re.compile(text))
             if pattern.match(target):
                 found = (rule, verdict)
