@@ -174,49 +174,25 @@ def rule_number_key(number: Column) -> Column:
     ).otherwise(number)
 
 
-_MAX_SYMBOLS = 6400
+#: Code points beyond the basic plane: one for each distinct word of a pair.
+_FIRST_SYMBOL, _SYMBOLS = 0x10000, 0x100000
 
 
 def word_levenshtein(left: Column, right: Column) -> Column:
     """Levenshtein distance over words.
 
-    Each distinct word of the pair is given one private-use code point and the built-in distance
-    runs over the two encoded strings.  A pair with more distinct words than code points goes
-    through the exact Arrow path instead.
+    Each distinct word of the pair is given one code point beyond the basic plane and the built-in distance
+    runs over the two encoded strings.  There are a million of them; a pair with more words than that is an error, not a
+    guess.
     """
     def encoded(words):
         symbol = lambda w: F.decode(
-            F.unhex(F.lpad(F.hex(F.lit(57343) + F.array_position(words, w)), 4, "0")), "utf-16be")
+            F.unhex(F.lpad(F.hex(F.lit(_FIRST_SYMBOL - 1) + F.array_position(words, w)), 8, "0")), "utf-32")
         encode = lambda side: F.array_join(F.transform(side, symbol), "")
-        return F.levenshtein(encode(left), encode(right))
+        return F.when(F.size(words) > _SYMBOLS, F.raise_error(F.lit("more distinct words than symbols")).cast("int")).otherwise(
+            F.levenshtein(encode(left), encode(right)))
 
-    words = F.array_distinct(F.concat(left, right))
-    short = F.size(words) <= _MAX_SYMBOLS
-    return F.when(short, let(words, encoded)).otherwise(
-        _word_distance(F.when(~short, left), F.when(~short, right))
-    )
-
-
-@F.pandas_udf(ST.IntegerType())
-def _word_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    import numpy as np
-
-    def distance(a, b):
-        if a is None or b is None:
-            return None
-        codes: dict = {}
-        x = np.array([codes.setdefault(w, len(codes)) for w in a], dtype=np.int64)
-        y = np.array([codes.setdefault(w, len(codes)) for w in b], dtype=np.int64)
-        row = np.arange(len(y) + 1)
-        steps = np.arange(len(y) + 1)
-        for i, symbol in enumerate(x, start=1):
-            best = np.minimum(row[1:] + 1, row[:-1] + (y != symbol))
-            full = np.concatenate(([i], best))
-            # insertion closes gaps left to right: a running minimum over (value - position)
-            row = np.minimum.accumulate(full - steps) + steps
-        return int(row[-1])
-
-    return pd.Series([distance(a, b) for a, b in zip(left, right)], dtype="Int32")
+    return let(F.array_distinct(F.concat(left, right)), encoded)
 
 
 # the helpers above travel to the workers by value, so executors need no copy of this package

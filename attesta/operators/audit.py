@@ -107,13 +107,12 @@ def validate(examples: DataFrame, taxonomy: DataFrame, require_verified: bool =
     return reduce(DataFrame.unionByName, parts)
 
 
-def require_clean(findings: DataFrame, show: int = 20) -> None:
-    """The severity gate: raise when any error exists, naming how many and the first of them."""
-    errors = findings.where(F.col("severity") == ERROR)
-    first = errors.orderBy("code", "subject").limit(show).collect()
-    if first:
-        listed = "; ".join(f"{r.code} [{r.subject}]" for r in first)
-        raise ValueError(f"{errors.count()} dataset integrity error(s): {listed}")
+def require_clean(findings: DataFrame) -> None:
+    """The severity gate: raise when any error exists, naming every one of them."""
+    errors = findings.where(F.col("severity") == ERROR).orderBy("code", "subject")
+    listed = [f"{r.code} [{r.subject}]" for r in errors.toLocalIterator()]
+    if listed:
+        raise ValueError(f"{len(listed)} dataset integrity error(s): {'; '.join(listed)}")
 
 
 # --- verification ledger ---------------------------------------------------------------------
@@ -173,10 +172,16 @@ def apply_ledger(examples: DataFrame, ledger: DataFrame, entries: DataFrame) ->
 
 
 def verification_worksheet(examples: DataFrame) -> DataFrame:
-    """One blank row per product for a reviewer: how many examples and photographs it has."""
-    return examples.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("examples"), F.count_distinct("image_sha256").alias("images"),
-        F.concat_ws("/", F.min("category"), F.min("subcategory")).alias("drafted_label")).withColumn("verifier", F.lit("")).withColumn("outcome", F.lit(""))
+    """One blank row per product still to be verified: its examples, photographs, and every label drafted for it.
+
+    The lists hold one product's distinct values, in order.
+    """
+    label = F.concat_ws("/", "category", "subcategory")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "; ")
+    open_ = examples.where(F.col("label_verified_by").isNull()) if "label_verified_by" in examples.columns else examples
+    return open_.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("examples"), F.count_distinct("image_sha256").alias("images"), listed(label).alias("drafted_label"),
+        listed("example_id").alias("example_ids"), listed("image_sha256").alias("image_digests")).withColumn("verifier", F.lit("")).withColumn("outcome", F.lit(""))
 
 
 def verification_summary(examples: DataFrame, ledger: DataFrame) -> DataFrame:

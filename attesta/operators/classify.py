@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta import vocabulary as V
 from attesta.functions import text as T
 
-MAX_VOCABULARY = 1 << 20   # a linear model holds one coefficient per term and class in memory
 MIN_TOKENS, MIN_CATEGORY, MIN_SUBCATEGORY, MAX_TERMS = 3, 0.60, 0.50, 6
 
 
@@ -110,13 +109,13 @@ def decide(docs: DataFrame, scored: DataFrame, classes: Sequence[str], key: str
 def top_terms(rows: DataFrame, model: DataFrame, class_index: Column, key: str = "doc_id", k: int = MAX_TERMS) -> DataFrame:
     """(key, rank, term, contribution): the largest positive contributions to one class.
 
-    Spark limits each group to ``k`` rows before the shuffle, so a long document ships ``k`` rows
+    Contributions are compared at six decimals, so that ties fall to the term and not to rounding noise.  Spark limits each group to ``k`` rows before the shuffle, so a long document ships ``k`` rows
     per map task.
     """
     from pyspark.sql import Window
 
     given = rows.join(model.select("term", "weights"), "term").withColumn(
-        "contribution", F.col("weight") * F.get("weights", class_index)).where("contribution > 0")
+        "contribution", F.round(F.col("weight") * F.get("weights", class_index), 6)).where("contribution > 0")
     order = Window.partitionBy(key).orderBy(F.desc("contribution"), "term")
     return given.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(key, "rank", "term", "contribution")
 
@@ -132,40 +131,35 @@ def class_weights(examples: DataFrame, label: str) -> DataFrame:
         label, (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
-def train(rows: DataFrame, vocabulary: DataFrame, examples: DataFrame, label: str, key: str = "doc_id", c: float = 1.0):
-    """Fit a balanced logistic regression on TF-IDF rows with Spark ML.
+def train(examples: DataFrame, vocabulary: DataFrame, label: str, text: str = "text", c: float = 1.0):
+    """Fit a balanced logistic regression on the TF-IDF rows of ``examples`` (already trainable) with Spark ML.
 
-    Returns (classes, model terms, intercepts).  Only the vocabulary is indexed on the driver's
-    side of ML; the rows stay distributed.
+    Returns (classes, model terms, intercepts).  A linear model is one coefficient per term and class in memory, so the
+    vocabulary is on the driver; the rows stay distributed, and ML's own transformers count, scale and normalise them.
+    Two classes are one sigmoid: the first has the score 0.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    spark = rows.sparkSession
-    if vocabulary.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
-        raise ValueError("vocabulary is too large for one coefficient vector; raise min_df")
-    terms = [r[0] for r in vocabulary.select("term").orderBy("term").toLocalIterator()]
-    index = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, slot int")
-    size = len(terms)
-
-    @F.udf(returnType=VectorUDT())
-    def vector(pairs):
-        return Vectors.sparse(size, sorted((p[0], p[1]) for p in pairs))
-
-    packed = rows.join(index, "term").groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("pairs"))
-    weights = class_weights(examples, label).withColumnRenamed("weight", "class_weight")
-    data = packed.join(examples.select(key, label), key).join(weights, label).select(label, "class_weight", vector("pairs").alias("features"))
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
+    from pyspark.ml.linalg import Vectors
+
+    spark = examples.sparkSession
+    known = vocabulary.select("term", "idf").orderBy("term").collect()
+    terms = [r.term for r in known]
+    tokens = examples.select(F.col(label), T.ngrams(T.feature_tokens(T.preprocess_text(F.col(text))), 1, 2).alias("terms"))
+    data = tokens.join(class_weights(examples, label).withColumnRenamed("weight", "class_weight"), label)
+    data = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf").transform(data)
+    data = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in known]), inputCol="tf", outputCol="weighted").transform(data)
+    data = Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(data)
     indexer = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc").fit(data)
-    data = indexer.transform(data)
-    n = data.count()
+    two = len(indexer.labels) == 2
     fitted = LogisticRegression(
-        featuresCol="features", labelCol="target", weightCol="class_weight", regParam=1.0 / (c * n), standardization=False,
-        family="multinomial", maxIter=100).fit(data)
-    coef = fitted.coefficientMatrix.toArray()
-    model = spark.createDataFrame(
-        [(t, [float(coef[k][i]) for k in range(coef.shape[0])]) for i, t in enumerate(terms)], "term string, weights array<double>")
-    return list(indexer.labels), vocabulary.join(model, "term").select("term", "idf", "weights"), [float(b) for b in fitted.interceptVector]
+        featuresCol="features", labelCol="target", weightCol="class_weight", regParam=1.0 / (c * examples.count()), standardization=False,
+        family="binomial" if two else "multinomial", maxIter=100).fit(indexer.transform(data))
+    rows, bias = fitted.coefficientMatrix.toArray().tolist(), list(fitted.interceptVector)
+    if two:
+        rows, bias = [[0.0] * len(terms), rows[0]], [0.0, bias[0]]
+    model = spark.createDataFrame([(t, [float(r[i]) for r in rows]) for i, t in enumerate(terms)], "term string, weights array<double>")
+    return list(indexer.labels), vocabulary.join(model, "term").select("term", "idf", "weights"), [float(b) for b in bias]
 
 
 def folds(examples: DataFrame) -> DataFrame:
@@ -192,10 +186,10 @@ def cross_validate(examples: DataFrame, label: str = "subcategory", key: str = "
     parts = None
     for p in products:
         inside, outside = examples.where(F.col(product) != p), examples.where(F.col(product) == p)
-        train_counts = counts.join(trainable(inside).select(key), key, "left_semi")
+        inside = trainable(inside)
         n = inside.agg(F.count(F.lit(1)).alias("n"))
-        idf = fit_idf(train_counts, n)
-        classes, model, bias = train(tfidf_rows(train_counts, idf, key), idf, inside, label, key)
+        idf = fit_idf(counts.join(inside.select(key), key, "left_semi"), n)
+        classes, model, bias = train(inside, idf, label)
         scored = linear_scores(counts.join(outside.select(key), key, "left_semi"), model, bias, key)
         part = decide(outside, scored, classes, key).withColumn(product, F.lit(p))
         parts = part if parts is None else parts.unionByName(part)

@@ -306,34 +306,41 @@ def contact_elements(lines: DataFrame) -> DataFrame:
 def contact_candidates(lines: DataFrame) -> DataFrame:
     """One consumer-care candidate per label, in the schema of ``line_candidates``.
 
-    The reading carries the first e-mail and the first phone and points at the first line that has
-    a value; the complete list is ``contact_elements`` and the contributing lines ``contact_lines``.
+    E-mails and phones are the label's distinct ones in the order they are first read; the raw value joins every contributing
+    line, and the first line with a value is the evidence.  Lists hold what one label prints.
     """
     hits = contact_lines(lines)
     has_value = (F.size("emails") > 0) | (F.size("phones") > 0)
-    at = lambda flag: F.when(flag, F.col("line_index"))
     body = F.struct("line_index", "text", "confidence", "box")
+    read = lambda name: F.flatten(F.transform(F.col("lines"), lambda l: l[name]))
     label = hits.groupBy("image_id").agg(
         F.bool_or("keyword").alias("keyword"), F.bool_or("toll_free").alias("toll_free"),
-        F.min_by(F.get("emails", F.lit(0)), at(F.size("emails") > 0)).alias("email"),
-        F.min_by(F.get("phones", F.lit(0)), at(F.size("phones") > 0)).alias("phone"),
+        F.array_sort(F.collect_list(F.struct("line_index", "text", "emails", "phones"))).alias("lines"),
         F.min_by(body, F.struct((~has_value).alias("v"), "line_index")).alias("anchor"),
-    )
-    some = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
-    values = dict(emails=some("email"), phones=some("phone"))
+    ).withColumn("email_list", _first_printings(read("emails"))).withColumn("phone_list", _first_printings(F.transform(read("phones"), T.collapse)))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    values = dict(emails=some("email_list"), phones=some("phone_list"))
     value = (
-        F.when(F.col("email").isNull() & F.col("phone").isNull(), N.uncertain("keyword found but no e-mail or phone read"))
-        .when(F.col("keyword") | F.col("toll_free") | F.col("email").isNotNull(), N.certain(**values))
+        F.when((F.size("email_list") == 0) & (F.size("phone_list") == 0), N.uncertain("keyword found but no e-mail or phone read"))
+        .when(F.col("keyword") | F.col("toll_free") | (F.size("email_list") > 0), N.certain(**values))
         .otherwise(N.uncertain("a phone number with no consumer-care keyword on the label", **values))
     )
     by = F.when(F.col("keyword"), F.lit(KEYWORD)).otherwise(F.lit(PATTERN))
-    c = _candidate("consumer_care_contact", F.col("anchor.text"), value, by, lambda v: _signature(F.col("email"), F.col("phone")))
+    raw = F.array_join(F.transform("lines", lambda l: l["text"]), V.LINE_JOIN)
+    signature = lambda v: _signature(F.array_join(some("email_list"), ","), F.array_join(some("phone_list"), ","))
+    c = _candidate("consumer_care_contact", raw, value, by, signature)
     return label.select(
         "image_id", F.col("anchor.line_index").alias("line_index"), F.lit(0).alias("ordinal"),
         F.col("anchor.confidence").alias("confidence"), F.col("anchor.box").alias("box"), c.alias("c"),
     ).select("image_id", "line_index", "ordinal", "confidence", "box", "c.*")
 
 
+def _first_printings(values: Column) -> Column:
+    """Values in order, each once; equal up to case is equal."""
+    folded = F.transform(values, F.lower)
+    return F.filter(values, lambda v, k: F.array_position(folded, F.lower(v)) == k + 1)
+
+
 # --- choosing --------------------------------------------------------------------------------
 
 
@@ -348,21 +355,22 @@ def _rank() -> Column:
 def resolve(candidates: DataFrame) -> DataFrame:
     """One reading per (label, declaration).  Disagreeing candidates make it uncertain.
 
-    Aggregated twice, per distinct signature and then per declaration; neither step keeps more
-    than one row per group in memory.  ``conflicts`` counts the distinct readings; they are listed
-    by ``conflicting_values``.
+    Aggregated twice, per distinct signature and then per declaration, so the list of a disputed reading's candidates (best
+    first) holds each distinct value of one label once.  ``conflicts`` is their number.
     """
     rank = _rank()
     body = F.struct("raw_value", "normalized", "confidence", "box", "line_index", "matched_by")
     per_value = candidates.groupBy("image_id", "key", "signature").agg(
         F.min_by(body, rank).alias("best"), F.min(rank).alias("rank"))
     per_key = per_value.groupBy("image_id", "key").agg(
-        F.min_by("best", "rank").alias("best"), F.count("signature").alias("distinct_values"))
+        F.min_by("best", "rank").alias("best"), F.count("signature").alias("distinct_values"),
+        F.collect_list(F.when(F.col("signature").isNotNull(), F.struct("rank", "signature"))).alias("listed"))
     conflict = F.col("distinct_values") > 1
+    listed = F.transform(F.array_sort("listed"), lambda x: x["signature"])
     value = F.when(conflict, N.mark_uncertain(
         F.col("best.normalized"),
         F.concat(F.col("distinct_values").cast("string"), F.lit(" different values on the label")),
-    )).otherwise(F.col("best.normalized"))
+    ).withField("candidates", listed)).otherwise(F.col("best.normalized"))
     return per_key.select(
         "image_id", F.col("key").alias("field_key"), F.col("best.raw_value").alias("raw_value"), value.alias("normalized"),
         F.col("best.confidence").alias("confidence"), F.col("best.box").alias("box"),

@@ -16,7 +16,7 @@ from attesta import vocabulary as V
 from attesta.functions import values as N
 from attesta.operators import applicability as A, rules as RU
 from attesta.plans.evaluation import Framework, Inspections
-from attesta.session import spread, table
+from attesta.session import table
 
 AS_OF = date(2025, 1, 1)
 
@@ -275,7 +275,8 @@ class Inputs:
 
     @cached_property
     def label_texts(self):
-        return spread(self.sql(LABEL_TEXT, labels_base=self.labels))
+        # few large splits, much work a row
+        return self.sql(LABEL_TEXT, labels_base=self.labels).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
 
     @cached_property
     def examples(self):

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from attesta.functions import values as N
 from attesta.operators import applicability as A, checks as C, readings as R, rules as RU, verdict as VD
-from attesta.operators.joins import broadcast_if_small
 
 
 @dataclass
@@ -70,14 +69,14 @@ def _by_code(a, b):
 
 def candidate_findings(data: Inspections, framework: Framework, on) -> DataFrame:
     """One row per (run, candidate rule), and one row with a null rule for a run without candidates."""
-    lineage = RU.ancestry(framework.categories).persist()   # framework-sized, met by several joins
+    lineage = RU.ancestry(framework.categories)
     facts = A.fact_maps(A.latest_facts(data.declarations, framework.conditions))
     products = data.products.join(facts, "product_id", "left")
 
     runs = data.runs.withColumnRenamed("status", "run_status").withColumnRenamed("image_id", "run_image_id")
     rows = (
         runs.join(products, "product_id", "left")
-        .join(broadcast_if_small(rule_plan(framework, lineage, on).persist()), "category_code", "left")
+        .join(rule_plan(framework, lineage, on), "category_code", "left")
         .join(R.reading_maps(data.readings), "run_id", "left")
         .withColumn("scope", A.scope(F.col("gates"), F.col("answers"), F.col("lineage")))
         .withColumn("rule", F.explode_outer("rules"))

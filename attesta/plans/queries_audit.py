@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attesta import vocabulary as V
 from attesta.operators import audit as A, policy as P
 from attesta.plans import bindings as B
-from attesta.plans.catalog import query
+from attesta.plans.catalog import ORACLES, query
 from attesta.plans.oracle_core import core, core_ctes
 
 _RAW = """
@@ -110,9 +110,9 @@ def audit_conflicting_labels(i):
 
 
 @query("audit_duplicate_texts", _EX + r""", f AS (SELECT product_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS d FROM e WHERE length(trim(text)) > 0)
-SELECT CASE WHEN count(DISTINCT product_id) > 1 THEN 'duplicate-text-across-products' ELSE 'duplicate-text-within-product' END AS code, CASE WHEN count(DISTINCT product_id) > 1 THEN 'error' ELSE 'warning' END AS severity, CAST(count(*) AS VARCHAR) AS detail FROM f GROUP BY d HAVING count(*) > 1""")
+SELECT CASE WHEN count(DISTINCT product_id) > 1 THEN 'duplicate-text-across-products' ELSE 'duplicate-text-within-product' END AS code, CASE WHEN count(DISTINCT product_id) > 1 THEN 'error' ELSE 'warning' END AS severity, d AS subject, CAST(count(*) AS VARCHAR) AS detail FROM f GROUP BY d HAVING count(*) > 1""")
 def audit_duplicate_texts(i):
-    return A.duplicate_texts(i.examples).drop("subject")
+    return A.duplicate_texts(i.examples)
 
 
 @query("audit_class_coverage", _EX + "SELECT t.subcategory, t.category, count(e.example_id) AS examples, count(DISTINCT e.product_id) AS products, count(e.label_verified_by) AS verified FROM tax t LEFT JOIN e ON e.subcategory = t.subcategory GROUP BY 1, 2")
@@ -120,7 +120,21 @@ def audit_class_coverage(i):
     return A.class_coverage(i.examples, i.taxonomy)
 
 
-@query("audit_finding_totals", None)
+@query("audit_thin_classes", _EX + """, c AS (SELECT t.subcategory, count(e.example_id) AS n, count(DISTINCT e.product_id) AS p FROM tax t LEFT JOIN e ON e.subcategory = t.subcategory GROUP BY 1)
+SELECT CASE WHEN n = 0 THEN 'empty-class' ELSE 'single-product-class' END AS code, 'warning' AS severity, subcategory AS subject, CAST(n AS VARCHAR) AS detail FROM c WHERE p < 2""")
+def audit_thin_classes(i):
+    return A.thin_classes(i.examples, i.taxonomy)
+
+
+@query("audit_unverified_labels", _EX + "SELECT 'unverified-labels' AS code, 'warning' AS severity, 'dataset' AS subject, CAST(count(*) AS VARCHAR) AS detail FROM e WHERE label_verified_by IS NULL HAVING count(*) > 0")
+def audit_unverified_labels(i):
+    return A.unverified_labels(i.examples)
+
+
+_PARTS = ("audit_rows", "audit_shared_images", "audit_repeated_images", "audit_conflicting_labels", "audit_duplicate_texts", "audit_thin_classes", "audit_unverified_labels")
+
+
+@query("audit_finding_totals", "SELECT severity, code, count(*) AS findings FROM (" + " UNION ALL ".join(f"SELECT severity, code FROM ({ORACLES[p]})" for p in _PARTS) + ") GROUP BY ALL")
 def audit_finding_totals(i):
     return A.validate(i.examples, i.taxonomy).groupBy("severity", "code").agg(F.count(F.lit(1)).alias("findings"))
 
@@ -153,9 +167,11 @@ def ledger_apply(i):
     return A.apply_ledger(i.examples, i.ledger, i.ledger_examples).select("example_id", "category", "subcategory", "label_verified_by")
 
 
-@query("verification_worksheet", _EX + "SELECT product_id, count(*) AS examples, count(DISTINCT image_sha256) AS images FROM e GROUP BY product_id")
+@query("verification_worksheet", _EX + """SELECT product_id, count(*) AS examples, count(DISTINCT image_sha256) AS images,
+array_to_string(list_sort(list_distinct(list(concat(category, '/', subcategory)))), '; ') AS drafted_label, array_to_string(list_sort(list_distinct(list(example_id))), '; ') AS example_ids,
+array_to_string(list_sort(list_distinct(list(image_sha256))), '; ') AS image_digests FROM e WHERE label_verified_by IS NULL GROUP BY product_id""")
 def verification_worksheet(i):
-    return A.verification_worksheet(i.examples).select("product_id", "examples", "images")
+    return A.verification_worksheet(i.examples).select("product_id", "examples", "images", "drafted_label", "example_ids", "image_digests")
 
 
 @query("verification_summary", _EX + """SELECT count(*) AS examples, count(label_verified_by) AS verified_examples, count(DISTINCT product_id) AS products, count(DISTINCT CASE WHEN label_verified_by IS NOT NULL THEN product_id END) AS verified_products,

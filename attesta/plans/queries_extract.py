@@ -14,7 +14,7 @@ _BASE = f"WITH labels_base AS ({B.duck(B.LABELS)}), label_text AS ({B.duck(B.LAB
 
 
 def _lines(i):
-    return D.lines_from_text(i.label_texts, fold=False)
+    return D.lines_from_text(i.label_texts)
 
 
 def _readings(i, key, detector=None):
@@ -118,14 +118,35 @@ def extract_names(i):
 
 
 @query("extract_contact", _BASE + """
-SELECT image_id, CASE contact_style WHEN 0 THEN email WHEN 1 THEN upper(email) END AS email,
-  CASE contact_style WHEN 1 THEN '1800-10-22-221' WHEN 3 THEN '98765 43210' END AS phone,
+SELECT image_id, CASE contact_style WHEN 0 THEN email WHEN 1 THEN upper(email) ELSE '' END AS emails,
+  CASE contact_style WHEN 1 THEN '1800-10-22-221' WHEN 3 THEN '98765 43210' ELSE '' END AS phones,
+  CASE contact_style WHEN 0 THEN concat('Customer Care: ', email) WHEN 1 THEN concat('Customer Care: | 1800-10-22-221 | write to ', upper(email), ' or ', email)
+    WHEN 2 THEN 'Customer Care' ELSE 'Call 98765 43210' END AS raw_value,
   contact_style >= 2 AS uncertain, CASE WHEN contact_style = 3 THEN 'pattern' ELSE 'keyword' END AS matched_by
 FROM labels_base""")
 def extract_contact(i):
     return D.resolve(D.contact_candidates(_lines(i))).select(
-        "image_id", F.get("normalized.emails", F.lit(0)).alias("email"), F.get("normalized.phones", F.lit(0)).alias("phone"),
-        "normalized.uncertain", "matched_by")
+        "image_id", _listed("emails"), _listed("phones"), "raw_value", "normalized.uncertain", "matched_by")
+
+
+def _listed(name):
+    return F.array_join(F.coalesce(f"normalized.{name}", F.array().cast("array<string>")), "; ").alias(name)
+
+
+_CONTACTS = """
+SELECT o_orderkey AS image_id, concat('Customer Care: care', CAST(o_custkey AS STRING), '@shop.example, desk@shop.example', chr(10), 'Net Qty: 1 kg', chr(10),
+  'Call 98765 43210 or 1800-10-22-221', chr(10), 'CARE', CAST(o_custkey AS STRING), '@SHOP.EXAMPLE', CASE WHEN o_orderkey % 3 = 0 THEN ' or 91234 56789' ELSE '' END) AS text FROM {orders}"""
+
+
+@query("contact_lists", """
+SELECT o_orderkey AS image_id, concat('care', CAST(o_custkey AS STRING), '@shop.example; desk@shop.example') AS emails,
+  concat('1800-10-22-221; 98765 43210', CASE WHEN o_orderkey % 3 = 0 THEN '; 91234 56789' ELSE '' END) AS phones,
+  concat('Customer Care: care', CAST(o_custkey AS STRING), '@shop.example, desk@shop.example | Call 98765 43210 or 1800-10-22-221 | CARE', CAST(o_custkey AS STRING), '@SHOP.EXAMPLE',
+    CASE WHEN o_orderkey % 3 = 0 THEN ' or 91234 56789' ELSE '' END) AS raw_value FROM orders""")
+def contact_lists(i):
+    """Several e-mails and phones on several lines: each once, in the order read."""
+    lines = D.lines_from_text(i.sql(_CONTACTS).repartition("image_id"))
+    return D.resolve(D.contact_candidates(lines)).select("image_id", _listed("emails"), _listed("phones"), "raw_value")
 
 
 @query("contact_elements", _BASE + """
@@ -167,9 +188,11 @@ def _shared_candidates(i):
 @query("resolve_conflicting_readings", f"""
 WITH l AS ({B.duck(_SHARED)}), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY coalesce(confidence, 0) DESC, line_index) AS rn FROM l)
 SELECT image_id, max(CASE WHEN rn = 1 THEN text END) AS raw_value, max(CASE WHEN rn = 1 THEN line_index END) AS line_index,
-  CASE WHEN count(DISTINCT text) > 1 THEN count(DISTINCT text) ELSE 0 END AS conflicts, count(DISTINCT text) > 1 AS uncertain FROM r GROUP BY image_id""")
+  CASE WHEN count(DISTINCT text) > 1 THEN count(DISTINCT text) ELSE 0 END AS conflicts, count(DISTINCT text) > 1 AS uncertain,
+  CASE WHEN count(DISTINCT text) > 1 THEN (SELECT string_agg(concat(CAST(CAST(substr(text, 10, 1) AS INT) * 1000 AS VARCHAR), '|g|', substr(text, 10, 1), '|kg'), '; ' ORDER BY rn)
+    FROM (SELECT text, min(rn) AS rn FROM r AS s WHERE s.image_id = r.image_id GROUP BY text)) ELSE '' END AS candidates FROM r GROUP BY image_id""")
 def resolve_conflicting_readings(i):
-    return D.resolve(_shared_candidates(i)).select("image_id", "raw_value", "line_index", "conflicts", "normalized.uncertain")
+    return D.resolve(_shared_candidates(i)).select("image_id", "raw_value", "line_index", "conflicts", "normalized.uncertain", _listed("candidates"))
 
 
 @query("conflicting_value_list", f"""
@@ -375,41 +398,46 @@ def signal_snippet(i):
 
 @query("normalise_document_text", r"""
 SELECT doc_id, length(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS chars, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest
-FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+FROM documents""")
 def normalise_document_text(i):
-    """White-space form of the plain-ASCII documents (their own NFKC form), compared by digest."""
-    d = i.table("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    """Composed, white-space-collapsed form of every document, compared by digest."""
+    d = i.table("documents")
     n = T.normalise_text(F.col("text"))
     return d.select("doc_id", F.length(n).alias("chars"), F.sha2(n, 256).alias("digest"))
 
 
-@query("normalise_unicode_text")
+_PRESENTED = ("abcdefghijklmnopqrstuvwxyz0123456789 ", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９　")
+
+
+@query("normalise_unicode_text", r"""
+SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS chars, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents""")
 def normalise_unicode_text(i):
-    """NFKC over every document; no SQL engine here offers NFKC, so tests compare it with Python's."""
-    n = T.normalise_text(F.col("text"))
+    """Every document set in ligatures and full-width forms first; NFKC leads back to the plain text."""
+    set_ = F.translate(F.regexp_replace(F.regexp_replace("text", "fi", "ﬁ"), "fl", "ﬂ"), *_PRESENTED)
+    n = T.normalise_text(set_)
     return i.table("documents").select("doc_id", F.length(n).alias("chars"), F.sha2(n, 256).alias("digest"))
 
 
-_TOK = r"regexp_extract_all(lower(text), '[0-9]+|[a-z]+')"
+_TOK = r"regexp_extract_all(lower(text), '[0-9]+|\p{L}+')"
 
 
 @query("word_token_counts", rf"""
 SELECT doc_id, len({_TOK}) AS tokens, len(list_filter({_TOK}, lambda t: regexp_matches(t, '^[0-9]+$'))) AS numbers
-FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+FROM documents""")
 def word_token_counts(i):
-    d = i.table("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("c", T.preprocess_text(F.col("text"), False))
+    d = i.table("documents").withColumn("c", T.preprocess_text(F.col("text")))
     return d.select("doc_id", F.size(T.word_tokens(F.col("c"))).alias("tokens"),
                     F.size(F.filter(T.feature_tokens(F.col("c")), lambda t: t == V.NUMBER_TOKEN)).alias("numbers"))
 
 
 @query("ngram_feature_counts", rf"""
-WITH t AS (SELECT doc_id, list_transform({_TOK}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END) AS k FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+WITH t AS (SELECT doc_id, list_transform({_TOK}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END) AS k FROM documents),
 w1 AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
 w2 AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM w1),
 u AS (SELECT doc_id, term FROM w1 UNION ALL SELECT doc_id, concat(term, ' ', nxt) FROM w2 WHERE nxt IS NOT NULL)
-SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM u GROUP BY term HAVING count(DISTINCT doc_id) >= 20""")
+SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM u GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
 def ngram_feature_counts(i):
-    d = i.table("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).withColumn("c", T.preprocess_text(F.col("text"), False))
+    d = i.table("documents").withColumn("c", T.preprocess_text(F.col("text")))
     terms = d.select("doc_id", F.explode(T.ngrams(T.feature_tokens(F.col("c")))).alias("term"))
     per_doc = terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per_doc.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("documents")).where("documents >= 20")
+    return per_doc.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("documents")).where("documents >= 2")

@@ -26,7 +26,7 @@ _UNREAD = f"SELECT DISTINCT l_orderkey AS sample_id, {_KEYS} AS key FROM {{linei
 def _cells(i):
     p = i.sql(_PREDICTIONS)
     p = p.withColumn("values", F.array("scalar", "raw_value")).drop("scalar")
-    return Q.outcome_cells(i.sql(_SAMPLES), i.sql(_ANNOTATIONS), p, i.sql(_UNREAD), fold=False)
+    return Q.outcome_cells(i.sql(_SAMPLES), i.sql(_ANNOTATIONS), p, i.sql(_UNREAD))
 
 
 _CELLS = f"""
@@ -221,9 +221,8 @@ def latency_summary(i):
     return r.select("engine", F.round("mean", 2).alias("mean"), F.round("median", 2).alias("median"), "p95", "max")
 
 
-_ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
-_TOK = r"list_transform(regexp_extract_all(lower(text), '[0-9]+|[a-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END)"
-_TERMS = rf"""WITH t AS (SELECT doc_id, {_TOK} AS k FROM documents WHERE {_ASCII}),
+_TOK = r"list_transform(regexp_extract_all(lower(text), '[0-9]+|\p{L}+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<num>' ELSE x END)"
+_TERMS = rf"""WITH t AS (SELECT doc_id, {_TOK} AS k FROM documents),
 w1 AS (SELECT doc_id, unnest(k) AS term, generate_subscripts(k, 1) AS pos FROM t),
 w2 AS (SELECT doc_id, term, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM w1),
 u AS (SELECT doc_id, term FROM w1 UNION ALL SELECT doc_id, concat(term, ' ', nxt) FROM w2 WHERE nxt IS NOT NULL),
@@ -231,20 +230,16 @@ c AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY ALL), n AS (SELECT cou
 f AS (SELECT term, count(*) AS df, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= 2) """
 
 
-def _ascii_docs(i):
-    return i.table("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 @query("tfidf_fit", _TERMS + "SELECT term, df, round(idf, 6) AS idf FROM f")
 def tfidf_fit(i):
-    d = _ascii_docs(i)
-    return M.fit_idf(M.term_counts(d, fold=False), d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    d = i.table("documents")
+    return M.fit_idf(M.term_counts(d), d.agg(F.count(F.lit(1)).alias("n"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("tfidf_row_norms", _TERMS + """, w AS (SELECT doc_id, tf * idf AS x FROM c JOIN f USING (term)) SELECT doc_id, count(*) AS terms, round(max(x) / sqrt(sum(x * x)), 6) AS top_weight FROM w GROUP BY doc_id""")
 def tfidf_row_norms(i):
-    d = _ascii_docs(i)
-    counts = M.term_counts(d, fold=False)
+    d = i.table("documents")
+    counts = M.term_counts(d)
     rows = M.tfidf_rows(counts, M.fit_idf(counts, d.agg(F.count(F.lit(1)).alias("n"))))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top_weight"))
 
@@ -268,8 +263,8 @@ pr AS (SELECT doc_id, known, a / (a + b + c + e) AS a, b / (a + b + c + e) AS b,
 
 
 def _scored(i):
-    d = _ascii_docs(i)
-    counts = M.term_counts(d, fold=False)
+    d = i.table("documents")
+    counts = M.term_counts(d)
     model = _toy_model(M.fit_idf(counts, d.agg(F.count(F.lit(1)).alias("n"))))
     return d, M.linear_scores(counts, model, _BIAS)
 
@@ -290,23 +285,23 @@ SELECT doc_id, reason, CASE WHEN reason IN ('committed', 'subcategory below thre
  CASE WHEN reason IN ('committed', 'subcategory below threshold') THEN round(m, 4) END AS confidence FROM o""")
 def abstaining_decision(i):
     d, s = _scored(i)
-    return M.decide(d, s, _CLASSES, fold=False).select("doc_id", "reason", "category", "subcategory", "confidence")
+    return M.decide(d, s, _CLASSES).select("doc_id", "reason", "category", "subcategory", "confidence")
 
 
 @query("top_term_contributions", _TERMS + """, w AS (SELECT doc_id, term, tf * idf AS x, ((length(term) * 2) % 7 - 3) AS coef FROM c JOIN f USING (term)), s AS (SELECT doc_id, sqrt(sum(x * x)) AS nrm FROM w GROUP BY doc_id),
 k AS (SELECT doc_id, term, round(x / nrm * coef, 6) AS contribution FROM w JOIN s USING (doc_id) WHERE coef > 0), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, term) AS rank FROM k)
-SELECT doc_id, CAST(rank AS INT) AS rank, contribution FROM r WHERE rank <= 6""")
+SELECT doc_id, CAST(rank AS INT) AS rank, term, contribution FROM r WHERE rank <= 6""")
 def top_term_contributions(i):
-    d = _ascii_docs(i)
-    counts = M.term_counts(d, fold=False)
+    d = i.table("documents")
+    counts = M.term_counts(d)
     idf = M.fit_idf(counts, d.agg(F.count(F.lit(1)).alias("n")))
     top = M.top_terms(M.tfidf_rows(counts, idf), _toy_model(idf), F.lit(1))
-    return top.select("doc_id", "rank", F.round("contribution", 6).alias("contribution"))
+    return top.select("doc_id", "rank", "term", "contribution")
 
 
-@query("trainable_examples", rf"SELECT doc_id FROM documents WHERE {_ASCII} AND len(regexp_extract_all(lower(text), '[0-9]+|[a-z]+')) >= 3")
+@query("trainable_examples", r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(lower(text), '[0-9]+|\p{L}+')) >= 3")
 def trainable_examples(i):
-    return M.trainable(_ascii_docs(i), fold=False).select("doc_id")
+    return M.trainable(i.table("documents")).select("doc_id")
 
 
 @query("class_weights", "SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label, round((SELECT count(*) FROM labels) / (2.0 * count(*)), 6) AS weight FROM labels GROUP BY 1")
@@ -315,6 +310,34 @@ def class_weights(i):
     return M.class_weights(e, "label").select("label", F.round("weight", 6).alias("weight"))
 
 
+_SEPARABLE = """
+SELECT p_partkey AS doc_id, CASE WHEN p_partkey % {k} = 0 THEN 'general-food' WHEN p_partkey % {k} = 1 THEN 'cosmetics-and-toiletries' ELSE 'cleaning-product' END AS subcategory,
+  concat(CASE WHEN p_partkey % {k} = 0 THEN 'sugar milk cocoa flour' WHEN p_partkey % {k} = 1 THEN 'shampoo lotion perfume hair' ELSE 'bleach detergent floor stain' END, ' pack of ', CAST(p_size AS STRING)) AS text
+FROM {{part}}"""
+
+
+def _trained(i, k):
+    examples = M.trainable(i.sql(_SEPARABLE.format(k=k)))
+    counts = M.term_counts(examples)
+    idf = M.fit_idf(counts, examples.agg(F.count(F.lit(1)).alias("n")))
+    classes, model, bias = M.train(examples, idf, "subcategory", c=100.0)
+    return M.decide(examples, M.linear_scores(counts, model, bias), classes).select("doc_id", "category", "subcategory", "reason")
+
+
+_DECIDED = "SELECT doc_id, CASE WHEN subcategory = 'general-food' THEN 'packaged-food' ELSE 'packaged-non-food' END AS category, subcategory, 'committed' AS reason FROM e"
+
+
+@query("train_two_classes", f"WITH e AS ({B.duck(_SEPARABLE.format(k=2))}) {_DECIDED}")
+def train_two_classes(i):
+    """A model fitted on separable texts gives every text its class; two classes are one sigmoid."""
+    return _trained(i, 2)
+
+
+@query("train_three_classes", f"WITH e AS ({B.duck(_SEPARABLE.format(k=3))}) {_DECIDED}")
+def train_three_classes(i):
+    return _trained(i, 3)
+
+
 @query("leave_one_product_out_folds", "SELECT concat('holdout:', source) AS fold, source AS product_id, count(*) AS held_out FROM documents GROUP BY source")
 def leave_one_product_out_folds(i):
     return M.folds(i.table("documents").withColumnRenamed("source", "product_id"))

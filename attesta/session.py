@@ -33,32 +33,3 @@ def local_session(app: str = "attesta", cpus: str | None = None) -> SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over the cores when it arrives in fewer splits than there are cores.
-
-    For CPU-heavy row work on few large splits; a table with enough splits passes through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for cutting lineage, if any."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder; a no-op where no folder is configured.
-
-    Executor loss cannot lose the result: it is re-read from shared storage, never from executor
-    memory or a machine-local folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = checkpoint_folder(spark)
-        if folder is None:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

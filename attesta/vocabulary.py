@@ -26,6 +26,7 @@ BOOKKEEPING_KEYS = ("uncertain", "uncertainty_reasons", "candidates", "matched_b
 
 LOW_CONFIDENCE = 0.5
 EXCERPT_LENGTH = 500
+LINE_JOIN = " | "   # between the lines of one consumer-care declaration
 MAX_PROCESSING_MS = 2_147_483_647
 MAX_IMAGES_PER_INSPECTION = 6
 MAX_IMAGE_BYTES = 10 * 1024 * 1024
