@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import worker_state
+from attesta.llm.common import slices, worker_state
 from attesta.llm.pretokens import Slab, ragged, slabs
 
 NONE = np.int64(1) << 60
 #: Words kept per worker before the cache starts anew; bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class Ranks:
@@ -96,7 +96,7 @@ def merge_words(words: list[bytes], ranks: Ranks) -> list[bytes]:
         else:
             by_size.setdefault(max(1, (len(w) - 1).bit_length()), []).append(i)
     for depth, members in by_size.items():
-        step = max(1, (1 << 21) >> depth)
+        step = max(1, (1 << 19) >> depth)
         for a in range(0, len(members), step):
             part = members[a:a + step]
             for i, ids in zip(part, _merge([words[i] for i in part], depth, ranks), strict=True):
@@ -208,7 +208,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = encode_texts(batch.column(1).to_pylist(), path, pattern)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
 
@@ -220,14 +220,32 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks_of(path).token
-        decimal = worker_state(f"decimal_{path}", lambda: [str(i) for i in range(len(token))])
-        for batch in batches:
-            rows = [np.frombuffer(x, np.uint32).tolist() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(x) for x in rows], pa.int64()),
-                pa.array([" ".join([decimal[i] for i in x]) for x in rows], pa.string()),
-                pa.array([b"".join([token[i] for i in x]) for x in rows], pa.binary()),
-            ], names=[id_col, "n_tokens", "ids_text", "decoded"])
-
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_text string, decoded binary")
+        for batch in slices(batches):
+            yield _decoded(batch.column(0), batch.column(1).to_pylist(), path, id_col)
+
+    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, {DECODED}")
+
+
+DECODED = "n_tokens long, ids_text string, decoded binary"
+
+
+def _decoded(ids: pa.Array, packed: list[bytes], path: str, id_col: str) -> pa.RecordBatch:
+    token = ranks_of(path).token
+    decimal = worker_state(f"decimal_{path}", lambda: [str(i) for i in range(len(token))])
+    rows = [np.frombuffer(x, np.uint32).tolist() for x in packed]
+    return pa.RecordBatch.from_arrays([
+        ids, pa.array([len(x) for x in rows], pa.int64()),
+        pa.array([" ".join([decimal[i] for i in x]) for x in rows], pa.string()),
+        pa.array([b"".join([token[i] for i in x]) for x in rows], pa.binary()),
+    ], names=[id_col, "n_tokens", "ids_text", "decoded"])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that the ids don't travel in between."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield _decoded(batch.column(0), encode_texts(batch.column(1).to_pylist(), path, pattern), path, id_col)
+
+    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {DECODED}")

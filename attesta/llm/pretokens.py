@@ -22,7 +22,7 @@ SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 GPT_RANGES = ((0x0, 0x530), (0x2010, 0x2028), (0x20A0, 0x20C0), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
 #: The same, and unchanged by NFC as well as lower-cased alike.
 WORD_RANGES = ((0x0, 0x300), (0x410, 0x450), (0x2010, 0x2028), (0x4E00, 0x9FA6))
-SLAB_CHARS = 1 << 21
+SLAB_CHARS = 1 << 20
 
 
 def class_table(ranges) -> np.ndarray:

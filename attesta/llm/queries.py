@@ -115,7 +115,7 @@ def token_count_query(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe")
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN), path))
+    return digests(bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN))
 
 
 def digests(decoded: DataFrame) -> DataFrame:
