@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import block_pairs, written
+from attesta.llm.common import block_pairs, slices, written
 from attesta.llm.components import components
 from attesta.llm.groups import forest, whole_groups
 
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_c
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 

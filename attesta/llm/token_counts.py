@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import worker_state
+from attesta.llm.common import slices, worker_state
 from attesta.llm.pretokens import Slab, slabs
 
 #: Frequent words in the broadcast table, and bytes of a word in it: at most 2 MB.
 TABLE_WORDS, WORD_BYTES = 32_768, 60
 #: Rows whose pre-tokens are counted to find the frequent ones.
 SAMPLE_ROWS = 2_000
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def library(path: str):
@@ -62,7 +62,7 @@ def frequent_words(df: DataFrame, text_col: str = "text", table_words: int = TAB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for part in slabs([x or "" for x in batch.column(0).to_pylist()], "gpt"):
                 if isinstance(part, Slab):
                     n = np.bincount(part.index, minlength=len(part.words)).tolist()
@@ -95,7 +95,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         ends = np.cumsum(np.frombuffer(sizes, np.uint8).astype(np.int64)).tolist()
         frequent = {data[a:b]: n for a, b, n in zip([0, *ends], ends, numbers, strict=False)}
         cache: dict[bytes, int] = worker_state(f"counts_{path}", dict)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out = np.zeros(len(texts), np.int64)
             for part in slabs(texts, "gpt", marks):

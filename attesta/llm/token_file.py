@@ -24,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm.common import new_path, remove, worker_state, written
+from attesta.llm.common import new_path, remove, slices, worker_state, written
 from attesta.llm.pretokens import Slab, ragged, slabs
 from attesta.llm.token_counts import library
 
 MAGIC = b"TOKSVB1\n"
 HEAD = "<8sIQQQ"
 #: Text of a shard, so that a file is one row of bounded size for whoever reads it.
-SHARD_BYTES = 16 << 20
-CACHE_WORDS = 400_000
+SHARD_BYTES = 8 << 20
+CACHE_WORDS = 250_000
 #: A text with this goes to the library whole: it may hold special strings.
 MARKS = ("<|",)
 
@@ -163,9 +163,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, end_id: int | None
         docs, missing, sizes, parts, number = [], [], [], [], None
         counts = np.zeros(1 << 16, np.int64)
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             number = batch.column(2)[0].as_py()
             ids = encode_texts(batch.column(1).to_pylist(), path, end_id)
             flat = np.concatenate(ids)
