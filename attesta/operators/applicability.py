@@ -16,8 +16,8 @@ APPLIES, DOES_NOT_APPLY, UNDETERMINED = "applies", "does_not_apply", "undetermin
 NO_CAVEAT_CLAUSES = "facts not declared are not established; rule 3 and rule 26 turn on such facts"
 
 
-def latest_facts(declarations: DataFrame, conditions: DataFrame) -> DataFrame:
-    """One stated answer per (product, condition): the latest wins; unknown codes are dropped.
+def latest_facts(declarations: DataFrame, conditions: DataFrame, with_id: bool = False) -> DataFrame:
+    """One stated answer per (product, condition): the latest wins, of equal times the larger id; unknown codes are dropped.
 
     ``max`` over a struct is combined map-side, so a product stated millions of times costs one
     row per map task.
@@ -27,7 +27,7 @@ def latest_facts(declarations: DataFrame, conditions: DataFrame) -> DataFrame:
     return (
         declarations.join(known, "condition_code")
         .groupBy("product_id", "condition_code").agg(newest)
-        .select("product_id", "condition_code", "last.answer", "last.updated_at")
+        .select("product_id", "condition_code", "last.answer", "last.updated_at", *["last.declaration_id"] * with_id)
     )
 
 

@@ -85,11 +85,15 @@ def merge_metadata(entries: DataFrame) -> DataFrame:
     return entries.groupBy("run_id", "key").agg(F.min_by("value", "position").alias("value"))
 
 
-def merge_unread(unread: DataFrame) -> DataFrame:
-    """Unread declarations of all photographs, kept as rows in position order."""
-    return unread.select("run_id", "position", "field_key", "evidence_text").withColumn(
-        "reported", F.lit(True)
-    )
+def merge_unread(reports: DataFrame) -> DataFrame:
+    """(run_id, unread): the photographs' unread lists one after the other, in position order.
+
+    ``reports`` holds (run_id, position, unread), null where a photograph reported none; a run appears only if some
+    photograph has a list, and then with what there is, even nothing.  A run has six photographs at most.
+    """
+    given = reports.where(F.col("unread").isNotNull())
+    lists = F.array_sort(F.collect_list(F.struct("position", "unread")))
+    return given.groupBy("run_id").agg(lists.alias("l")).select("run_id", F.flatten(F.transform("l", lambda x: x["unread"])).alias("unread"))
 
 
 def image_status(lines: Column, readings: Column) -> Column:

@@ -20,12 +20,10 @@ def usable_runs(runs: DataFrame, members: DataFrame, caller: Column) -> DataFram
     return visible_to(runs, "owner_id", caller).join(foreign, "run_id", "left_anti")
 
 
-def counts_per_check(checks: DataFrame, findings: DataFrame, violations: DataFrame, key: str = "run_id") -> DataFrame:
-    """Findings and violations of each check, counted apart before they meet."""
-    n = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return checks.select(key).join(n(findings, "findings"), key, "left").join(n(violations, "violations"), key, "left").select(
-        key, zero("findings"), zero("violations"))
+def counts_per_check(candidates: DataFrame, key: str = "run_id") -> DataFrame:
+    """Findings and violations of each check, from one pass over its candidate outcomes; a check without any counts 0."""
+    return candidates.groupBy(key).agg(
+        F.count_if(F.col("status").isin(*STATUS_ORDER)).alias("findings"), F.count_if(F.col("status") == "failed").alias("violations"))
 
 
 def page_after(df: DataFrame, created: str, key: str, last_created=None, last_key=None, size: int = 20) -> DataFrame:
@@ -56,13 +54,13 @@ def status_rank(status: Column, unknown_first: bool = True) -> Column:
     return F.coalesce(F.try_element_at(order, status), F.lit(-1 if unknown_first else len(STATUS_ORDER)))
 
 
-def finding_images(findings: DataFrame, violations: DataFrame, readings: DataFrame) -> DataFrame:
-    """Image of a finding: its violation's evidence, else the only matching reading; ambiguous is null."""
+def finding_images(findings: DataFrame, readings: DataFrame) -> DataFrame:
+    """Image of a finding: a violation's evidence, which its row carries, else the only matching reading; ambiguous is null."""
     single = readings.where("image_id IS NOT NULL").groupBy("run_id", "field_key").agg(
         F.count(F.lit(1)).alias("n"), F.min("image_id").alias("only_image"))
-    return findings.join(violations.select("run_id", "rule_code", "evidence_image_id"), ["run_id", "rule_code"], "left").join(
-        single, ["run_id", "field_key"], "left").select(
-        "run_id", "rule_code", F.coalesce("evidence_image_id", F.when(F.col("n") == 1, F.col("only_image"))).alias("image_id"))
+    evidence = F.when(F.col("status") == "failed", F.coalesce("reading_image_id", "run_image_id"))
+    return findings.join(single, ["run_id", "field_key"], "left").select(
+        "run_id", "rule_code", F.coalesce(evidence, F.when(F.col("n") == 1, F.col("only_image"))).alias("image_id"))
 
 
 def submission_problems(declarations: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta import vocabulary as V
-from attesta.operators import audit as A, contracts as C
+from attesta.operators import audit as A, contracts as C, readings as R
 from attesta.plans import bindings as B, evaluation as E
 from attesta.plans.catalog import ORACLES, query
 from attesta.plans.oracle_core import core
@@ -142,3 +142,15 @@ def result_graph(i):
     c = E.candidate_findings(i.inspections, i.framework(), B.AS_OF)
     g = C.result_graph(i.runs.select("run_id"), E.findings(c), E.violations(c), i.flat_readings)
     return g.where(F.size("fields") > 0).select("run_id", F.array_join(F.transform("fields", lambda f: f["field_key"]), ",").alias("fields"))
+
+
+_REPORTS = """
+SELECT l_orderkey AS run_id, l_linenumber AS position, CASE WHEN l_orderkey % 3 = 0 THEN CAST(NULL AS STRING) WHEN l_linenumber % 2 = 0 THEN '' ELSE concat('k', CAST(l_linenumber AS STRING), ',m', CAST(l_linenumber AS STRING)) END AS listed FROM {lineitem}"""
+
+
+@query("merge_unread_lists", f"""WITH r AS ({B.duck(_REPORTS)}) SELECT run_id, coalesce(string_agg(CASE WHEN listed <> '' THEN listed END, ',' ORDER BY position), '') AS unread FROM r WHERE listed IS NOT NULL GROUP BY run_id""")
+def merge_unread_lists(i):
+    """Lists of all photographs of a run; a run whose photographs report empty lists keeps an empty one."""
+    listed = F.when(F.col("listed") == "", F.array().cast("array<string>")).otherwise(F.split("listed", ","))
+    reports = i.sql(_REPORTS).select("run_id", "position", F.when(F.col("listed").isNotNull(), listed).alias("unread"))
+    return R.merge_unread(reports).select("run_id", F.array_join("unread", ",").alias("unread"))

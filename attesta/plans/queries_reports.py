@@ -100,8 +100,7 @@ def runs_usable_by_caller(i):
 
 @query("counts_per_check", core("SELECT r.run_id, count(o.status) AS findings, count(*) FILTER (o.status = 'failed') AS violations FROM runs r LEFT JOIN outcomes o ON o.run_id = r.run_id GROUP BY r.run_id"))
 def counts_per_check(i):
-    c = E.candidate_findings(i.inspections, i.framework(), B.AS_OF)
-    return R.counts_per_check(i.runs, E.findings(c), E.violations(c))
+    return R.counts_per_check(E.candidate_findings(i.inspections, i.framework(), B.AS_OF))
 
 
 @query("newest_orders_page", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20")
@@ -121,7 +120,7 @@ def review_reasons(i):
  FROM outcomes o LEFT JOIN chosen c ON c.run_id = o.run_id AND c.field_key = o.field_key LEFT JOIN (SELECT run_id, field_key, count(*) AS n, min(image_id) AS m FROM readings WHERE image_id IS NOT NULL GROUP BY ALL) s ON s.run_id = o.run_id AND s.field_key = o.field_key WHERE o.status IS NOT NULL"""))
 def finding_images(i):
     c = E.candidate_findings(i.inspections, i.framework(), B.AS_OF)
-    return R.finding_images(E.findings(c), E.violations(c), i.flat_readings)
+    return R.finding_images(E.findings(c), i.flat_readings)
 
 
 @query("declaration_submission_problems", core("SELECT d.declaration_id, CASE WHEN c.determination IS NULL THEN 'unknown condition' ELSE 'not determinable' END AS problem FROM declarations d LEFT JOIN conditions c USING (condition_code) WHERE c.determination IS NULL OR c.determination = 'not_determinable'"))

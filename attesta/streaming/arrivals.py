@@ -16,8 +16,9 @@ def evaluate_arrivals(runs: DataFrame, products: DataFrame, readings: DataFrame,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        wanted = readings.join(batch.select("run_id"), "run_id", "left_semi")
-        data = Inspections(batch, products, wanted, declarations)
+        ids = batch.select("product_id").distinct()
+        own = lambda table, key, of: table.join(of, key, "left_semi")  # only what the batch's runs and products need
+        data = Inspections(batch, own(products, "product_id", ids), own(readings, "run_id", batch.select("run_id")), own(declarations, "product_id", ids))
         verdicts(candidate_findings(data, framework, on)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -27,12 +28,13 @@ def latest_facts_arrivals(declarations: DataFrame, conditions: DataFrame, path:
     """Keep the latest fact per (product, condition): each batch adds its own latest rows, readers fold."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = A.latest_facts(batch, conditions).withColumn("batch", F.lit(batch_id))
+        newest = A.latest_facts(batch, conditions, with_id=True)
         newest.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return declarations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def current_facts(stored: DataFrame) -> DataFrame:
-    last = F.max_by("answer", F.struct("updated_at", "batch"))
+    """The latest of the stored rows, by the order of ``latest_facts``: streamed and batch answers are the same."""
+    last = F.max_by("answer", F.struct("updated_at", "declaration_id"))
     return stored.groupBy("product_id", "condition_code").agg(last.alias("answer"))
