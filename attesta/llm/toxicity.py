@@ -64,6 +64,28 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, bound: int) ->
     return rows.where("_y = 1").orderBy(*order).limit(bound).union(rows.where("_y = 0").orderBy(*order).limit(bound))
 
 
+def one_of_like_texts(sample: DataFrame) -> DataFrame:
+    """(text, _y): of sampled texts (_id, text, _y) with the same least shingle hash and label, one.
+
+    Words that a label's many near copies share would otherwise pass for signs of the label.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh3_64_intdigest
+        for batch in slices(batches):
+            keys = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").lower().split()
+                keys.append(min((digest(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))), default=0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_id", "text", "_y", "_key"])
+
+    kind = sample.schema["_id"].dataType.simpleString()
+    keyed = sample.select("_id", "text", "_y").mapInArrow(run, f"_id {kind}, text string, _y int, _key long")
+    return keyed.groupBy("_key", "_y").agg(F.min_by("text", "_id").alias("text")).select("text", "_y")
+
+
 def mine_terms(sample: DataFrame, terms: int) -> list[str]:
     """Words of the sample (text, _y) that go with label 1, strongest first."""
 
@@ -241,8 +263,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     known = labels.select(id_col, label_col)
     chosen = sample_labels(known, id_col, label_col, labelled)
-    joined = docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most 2 x labelled rows
-    found = mine_terms(joined.select(text_col, "_y"), terms)
+    joined = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most 2 x labelled rows
+    found = mine_terms(one_of_like_texts(joined), terms)
     place = {w: i for i, w in enumerate(dict.fromkeys([*found, *INSULTS]))}
     insults = frozenset(place[w] for w in INSULTS)
     rows = written(features(docs, found, id_col, text_col), "toxicity-features")
