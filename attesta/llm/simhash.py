@@ -10,6 +10,11 @@ Equal fingerprints are one row of the search.  Groups that share a key are compa
 blocks (`common.block_pairs`), and a task emits a spanning forest of the links it found instead of every pair: the same
 components, and no more rows than it has read.
 
+`near_duplicates` links by bits alone.  `similar_texts` asks for a similarity of the shingle sets instead: its fingerprints have 512 bits,
+enough for partitions as wide as the number of texts calls for, all with threshold 0.  That misses nothing within
+partitions - 1 bits, finds texts of a similarity of 0.9 with all but certainty and most at 0.8, and the distance of the whole
+fingerprints, which estimates the angle between the sets to a few hundredths, decides.
+
 Null texts count as empty (fingerprint zero).  Rows without an id keep their fingerprint but link with nothing.  Repeated ids
 and rows stay.  Only the named columns are read.
 """
@@ -169,6 +174,8 @@ def near_links(points: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
 
 def links_in(fp: np.ndarray, bounds: np.ndarray, radius: int, small: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Links inside each group: of small groups all, side by side; of others a spanning forest."""
+    wide = fp.ndim == 2
+    apart = (lambda a, b: np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)) if wide else (lambda a, b: np.bitwise_count(a ^ b))
     size = np.diff(bounds)
     left, right = [], []
     group = np.repeat(np.arange(len(size)), size)
@@ -178,12 +185,12 @@ def links_in(fp: np.ndarray, bounds: np.ndarray, radius: int, small: int = 32) -
         member = member[group[member] == group[member + d]]
         if not len(member):
             break
-        near = member[np.bitwise_count(fp[member] ^ fp[member + d]) <= radius]
+        near = member[apart(fp[member], fp[member + d]) <= radius]
         left.append(near)
         right.append(near + d)
     for g in np.flatnonzero(size > small).tolist():
         own = fp[bounds[g]:bounds[g + 1]]
-        label = forest(np.bitwise_count(own[:, None] ^ own[None, :]) <= radius)
+        label = forest(np.concatenate([apart(own[i:i + 256, None], own[None, :]) <= radius for i in range(0, len(own), 256)]))
         at = np.flatnonzero(label != np.arange(len(own)))
         left.append(bounds[g] + at)
         right.append(bounds[g] + label[at])
@@ -200,5 +207,98 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = 3, id_col: st
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+#: Bits of a wide fingerprint, in lanes of 64.
+WIDE = 512
+
+
+def wide_fingerprint(text: str, shingle: int) -> bytes:
+    """Like `fingerprint`, over the set of shingles, with WIDE bits from one hash mixed once for each lane."""
+    import xxhash
+
+    words = text.encode().translate(_LOWER).split()
+    parts = {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    if not parts:
+        return bytes(WIDE // 8)
+    base = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+    out = []
+    for lane in range(WIDE // BITS):
+        counts = np.zeros(BITS, np.int64)
+        for a in range(0, len(base), 1 << 16):
+            h = (base[a:a + (1 << 16)] + np.uint64(lane + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(counts * 2 > len(base), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def radius_of(similarity: float) -> int:
+    """Bits of WIDE that differ, on average, between sets of like size with this Jaccard similarity."""
+    return int(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts linked by a similarity of their shingle sets of ``similarity`` or more."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+
+    held = written(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(prints, f"doc_id {kind}, fp binary"), "wide-fingerprints")
+    points = written(held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), "wide-classes")
+    width = min(20, max(12, int(np.ceil(np.log2(max(points.count(), 2))))))
+    radius, keys = radius_of(similarity), ["k", "v", "b1", "b2"]
+    order = wide_bits(points)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = 1 << np.arange(width)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                fp = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, order]
+                for k in range(WIDE // width):
+                    value = bits[:, k * width:(k + 1) * width] @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)), pa.array(value.astype(np.int32)), part.column(1), part.column(0)], names=["k", "v", "id", "fp"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, keys):
+            lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(table.num_rows, -1)
+            a, b = links_in(lanes, bounds, radius)
+            if len(a):
+                ids = table.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    keyed = points.select("fp", "id").mapInArrow(probe, "k int, v int, id long, fp binary")
+    laid = block_pairs(keyed, ["k", "v"], F.col("id"), block).select(*keys, "id", "fp")
+    found = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long").distinct())
+    classes = written(points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "wide-components")
+    return held.join(classes, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def wide_bits(points: DataFrame) -> np.ndarray:
+    """The bits in an order that puts correlated ones of a lane side by side, so that they share partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((WIDE // BITS, BITS, BITS)), 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little").astype(np.float32)
+                lanes = bits.reshape(part.num_rows, -1, BITS).transpose(1, 0, 2)
+                total += lanes.transpose(0, 2, 1) @ lanes
+                n += part.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, total.size)), pa.array(np.append(n, total.ravel()).astype(np.int64))], names=["cell", "n"])
+
+    cells = {r.cell: r.n for r in points.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    n, out = cells.get(-1, 0), []
+    for lane in range(WIDE // BITS):
+        both = np.array([cells.get(lane * BITS * BITS + i, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS)
+        out += [lane * BITS + b for group in grouped_bits(correlations(n, both), 4) for b in group]
+    return np.array(out)
+
+
 def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -74,6 +74,29 @@ def test_plan_keys_cover_every_pattern_of_differences():
             assert any(gap & m == 0 for m in masks)
 
 
+def test_similar_texts(spark, awkward, nothing):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, group = [], []
+    for g in range(40):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([60, 200, 600]))]
+        for share in (0, 0, 0.01, 0.015, 0.3):
+            texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in words))
+            group.append(g)
+    sets = [{" ".join(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    for block in (3, 1024):
+        got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
+        near = [(i, j) for i in got for j in range(i) if group[i] == group[j] and alike(i, j) >= 0.87]
+        assert len(near) > 100 and sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+        assert all(group[got[i]] == group[i] for i in got)  # no link between strangers
+        far = [i for i in got if i % 5 == 4 and all(alike(i, j) < 0.7 for j in got if j != i)]
+        assert far and all(got[i] == i for i in far)
+    rows = simhash.similar_texts(awkward).collect()
+    assert len(rows) == awkward.count() and {r.doc_id: r.component_id for r in rows}[2] == 1
+    assert simhash.similar_texts(nothing).count() == 0
+
+
 def brute_vectors(rows):
     ok = {i: (np.array(v, float), l) for i, v, l in rows if i is not None and v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = []
