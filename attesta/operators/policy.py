@@ -9,8 +9,8 @@ from attesta import vocabulary as V
 
 def choose_product(requests: DataFrame, images: DataFrame) -> DataFrame:
     """The product a run is judged as: named explicitly, else its image's; a stated category alone
-    asks for a new product (``origin`` says which)."""
-    owned = images.select("image_id", F.col("product_id").alias("_image_product")).distinct()
+    asks for a new product (``origin`` says which).  An image under several products counts for the first of them."""
+    owned = images.groupBy("image_id").agg(F.min("product_id").alias("_image_product"))
     joined = requests.join(owned, "image_id", "left")
     return joined.withColumn(
         "origin",
@@ -39,6 +39,7 @@ def read_classification(raw: Column) -> Column:
         .when((category == V.UNKNOWN) & (F.coalesce(F.length(sub), F.lit(0)) > 0), F.lit("a subcategory cannot hang off an unknown category"))
         .when(bad_unit(".confidence") | bad_unit(".subcategory_confidence"), F.lit("confidence must be a number in [0, 1]"))
         .when(~text(".classifier_name") | ~text(".classifier_version"), F.lit("classifier name and version must be strings"))
+        .when(~void(".evidence") & ~F.coalesce(kind(".evidence").startswith("ARRAY"), F.lit(False)), F.lit("evidence must be a list"))
     )
     fine = problem.isNull()
     committed = fine & (category != V.UNKNOWN)
@@ -46,7 +47,7 @@ def read_classification(raw: Column) -> Column:
         fine.alias("usable"), F.coalesce(committed, F.lit(False)).alias("committed"), F.when(committed, category).alias("category"),
         F.when(fine & (F.length(sub) > 0), sub).alias("subcategory"), F.when(fine, at(".confidence", "double")).alias("confidence"),
         F.when(fine, F.concat_ws("/", at(".classifier_name", "string"), at(".classifier_version", "string"))).alias("artifact"),
-        problem.alias("problem"))
+        problem.alias("problem"), F.when(fine, at(".evidence", "array<string>")).alias("evidence"))
 
 
 def valid_policy(policy: DataFrame) -> DataFrame:

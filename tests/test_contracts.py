@@ -55,3 +55,21 @@ def test_verification_worksheet_lists(spark):
 
 def test_new_queries_are_registered():
     assert {"reading_contract", "requirement_problems", "example_problems", "sample_problems", "result_graph", "train_two_classes"} <= set(entry.queries()) & set(entry.oracle_sql())
+
+
+def test_classification_evidence_must_be_a_list(spark):
+    from attesta.operators import policy as P
+
+    raw = '{"metadata": {"product_classification": {"category": "packaged-food", "confidence": 0.9, "classifier_name": "m", "classifier_version": "1"%s}}}'
+    rows = spark.createDataFrame([(i, raw % e) for i, e in enumerate(("", ', "evidence": ["a", "b"]', ', "evidence": "a"', ', "evidence": null', ', "evidence": {"a": 1}'))], "i int, raw string")
+    got = {r.i: r.c for r in rows.select("i", P.read_classification(F.col("raw")).alias("c")).collect()}
+    assert [got[i].usable for i in range(5)] == [True, True, False, True, False]
+    assert got[1].evidence == ["a", "b"] and got[2].problem == "evidence must be a list"
+
+
+def test_an_image_of_two_products_keeps_one_run(spark):
+    from attesta.operators import policy as P
+
+    requests = spark.createDataFrame([(1, 7, None, None)], "run_id int, image_id int, explicit_product_id string, stated_category string")
+    images = spark.createDataFrame([(7, "b"), (7, "a")], "image_id int, product_id string")
+    assert [(r.product_id, r.origin) for r in P.choose_product(requests, images).collect()] == [("a", "image")]
