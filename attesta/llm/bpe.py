@@ -24,7 +24,7 @@ from attesta.llm.pretokens import Slab, ragged, slabs
 
 NONE = np.int64(1) << 60
 #: Words kept per worker before the cache starts anew; bounds memory, not results.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 
 
 class Ranks:

@@ -66,10 +66,24 @@ def in_slabs(sizes, limit: int) -> Iterator[tuple[int, int]]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batches whose texts (column number ``text``) take about ``limit`` bytes: bounds what a task holds at once."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        for a, b in in_slabs((sizes + 64).tolist(), limit):
-            yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            for a, b in in_slabs((sizes + 64).tolist(), limit):
+                yield batch.slice(a, b - a)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers go on to other stages beside the executor's heap."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
 
 
 def block_pairs(rows: DataFrame, keys: list[str], item: Column, size: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from attesta.llm.common import release
+
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold whole groups only, with the bounds of the groups; rows of a group follow each other in the input.
@@ -32,6 +34,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         last = _key(batch, keys, batch.num_rows - 1)
     if held:
         yield _cut(held, keys)
+    release()
 
 
 def _key(batch, keys, i):

@@ -90,18 +90,13 @@ def mine_terms(sample: DataFrame, terms: int) -> list[str]:
     """Words of the sample (text, _y) that go with label 1, strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-        size = [0, 0]
-        for batch in slices(batches, 0, 1 << 20):
+        for batch in slices(batches, 0):  # counts of a slice go on, so a task holds one slice's words
+            held = (Counter(), Counter())
             for words, y in zip(words_of([x or "" for x in batch.column(0).to_pylist()]), batch.column(1).to_pylist(), strict=True):
                 held[y].update(words.keys())
-                size[y] += 1
-        # a word that never goes with label 1 can't be a term
-        both = [(w, n, held[0][w]) for w, n in held[1].items()] + [(w, 0, n) for w, n in held[0].items() if w not in held[1]]
-        both.append(("", size[1], size[0]))
-        for a in range(0, len(both), 20_000):
-            w, p, n = zip(*both[a:a + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(p, pa.int64()), pa.array(n, pa.int64())], names=["w", "p", "n"])
+                held[y][""] += 1
+            w = list(held[0].keys() | held[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), *(pa.array([held[y][x] for x in w], pa.int64()) for y in (1, 0))], names=["w", "p", "n"])
 
     counts = written(sample.mapInArrow(count, "w string, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "term-counts")
     size = counts.where("w = ''").first()
