@@ -75,6 +75,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 2
         release()
 
 
+def forget() -> None:
+    """Drop what other operators have left in this worker: their caches are rebuilt when they come again."""
+    sys.modules.pop("_attesta_worker", None)
+    release()
+
+
 def release() -> None:
     """Give memory that a task has freed back to the system: workers go on to other stages beside the executor's heap."""
     import ctypes
