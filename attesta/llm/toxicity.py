@@ -79,11 +79,12 @@ def one_of_like_texts(sample: DataFrame) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words = (text or "").lower().split()
                 keys.append(min((digest(" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))), default=0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_id", "text", "_y", "_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["_id", "_y", "_key"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    keyed = sample.select("_id", "text", "_y").mapInArrow(run, f"_id {kind}, text string, _y int, _key long")
-    return keyed.groupBy("_key", "_y").agg(F.min_by("text", "_id").alias("text")).select("text", "_y")
+    keyed = sample.select("_id", "text", "_y").mapInArrow(run, f"_id {kind}, _y int, _key long")
+    first = keyed.groupBy("_key", "_y").agg(F.min("_id").alias("_id"))  # ids only: the texts are not shuffled
+    return sample.join(F.broadcast(first.select("_id")), "_id", "left_semi").select("text", "_y")  # as bounded as the sample
 
 
 def mine_terms(sample: DataFrame, terms: int) -> list[str]:
