@@ -6,8 +6,10 @@ a block; as the weights fill the period exactly, the order repeats from period t
 less than one block away from its share.  Only one period is worked out on the driver (its length is a parameter); a block's slot
 follows by arithmetic, so the work on documents is joins with a table of one period and window ranks.
 
-The mix ends at the first slot whose source has no block left; later blocks are outside it (``mixed`` false), since any of them
-would bend the shares.  Documents of a source come in the order of md5(id): a fixed shuffle.  Ranks are taken inside buckets
+In `schedule` the mix ends at the first slot whose source has no block left; later blocks are outside it (``mixed`` false), since
+any of them would bend the shares.  `schedule_all` goes on: a new phase of releases and deadlines gives the dry source's slots to the
+others by their renormalised weights, until every block has a slot.  It has at most one phase a source, worked out on the driver.
+Documents of a source come in the order of md5(id): a fixed shuffle.  Ranks are taken inside buckets
 of leading md5 digits, as many as the input needs, so a source that holds most rows is no single task.
 
 A null source is a source of its own.  Rows are ranked by distinct (source, id), so repeated rows share a slot; a null id is one
@@ -99,3 +101,41 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, powe
     slot = moment("at")
     return timed.select("source", "id", "block", slot.alias("slot"), moment("r").alias("release"), moment("d").alias("deadline"),
                         F.coalesce(slot < horizon, F.lit(False)).alias("mixed"))
+
+
+def phases(blocks: dict[str | None, int], target: dict[str | None, float], period: int) -> list[tuple[int, int, dict, dict, list]]:
+    """(first slot, number of slots, blocks taken before, weights, one period) of each phase; a phase ends where a source runs dry."""
+    used, start, out = dict.fromkeys(blocks, 0), 0, []
+    while left := {s: n - used[s] for s, n in blocks.items() if n > used[s]}:
+        share = whole_weights({s: target[s] for s in left}, period)
+        plan = one_period(share)
+        slots = {(s, k): slot for s, k, slot, _, _ in plan}
+        size = min(n // share[s] * len(plan) + slots[s, n % share[s]] for s, n in left.items())
+        turns, rest = divmod(size, len(plan))
+        out.append((start, size, {s: used[s] for s in left}, share, plan))
+        for s in left:
+            used[s] += turns * share[s]
+        for s, *_ in plan[:rest]:  # in the order of slots
+            used[s] += 1
+        start += size
+    return out
+
+
+def schedule_all(df: DataFrame, power: float = POWER, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(source, id, block, phase, slot, release, deadline) of every distinct (source, id): no block is left without a slot."""
+    spark = df.sparkSession
+    rows = written(ranked(df, id_col, source_col, block), "mix-ranks")
+    blocks = {r.source: r.n for r in rows.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}  # one row a source
+    planned = phases(blocks, {s: float(n) ** power for s, n in blocks.items()}, period)
+    parts, table = [], []
+    for number, (start, _, before, share, plan) in enumerate(planned):
+        following = planned[number + 1][2] if number + 1 < len(planned) else {}
+        parts += [(s, number, before[s], following.get(s, blocks[s]), start, len(plan), m) for s, m in share.items()]
+        table += [(number, s, k, slot, release, deadline) for s, k, slot, release, deadline in plan]
+    parts = spark.createDataFrame(parts, "s2 string, phase int, low long, high long, start long, length long, m int")
+    table = spark.createDataFrame(table, "p int, s string, k int, at int, r int, d int")
+    inside = F.col("source").eqNullSafe(F.col("s2")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high"))
+    placed = rows.join(parts, inside).withColumn("turn", F.floor((F.col("block") - F.col("low")) / F.col("m"))).withColumn("k2", (F.col("block") - F.col("low")) % F.col("m"))
+    timed = placed.join(table, (F.col("phase") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("k2") == F.col("k")))
+    moments = [(F.col("start") + F.col("turn") * F.col("length") + F.col(c)).cast("long").alias(name) for c, name in (("at", "slot"), ("r", "release"), ("d", "deadline"))]
+    return timed.select("source", "id", "block", "phase", *moments)

@@ -84,6 +84,34 @@ def test_schedule(spark, awkward, nothing):
     assert mixing.schedule(nothing).count() == 0
 
 
+def test_schedule_all_places_every_block(spark, awkward, nothing):
+    rows = [(i, "big" if i % 3 else "small" if i % 2 else None) for i in range(600)] + [(0, None), (None, "big"), (900, "rare")]
+    got = mixing.schedule_all(spark.createDataFrame(rows, "doc_id long, source string"), block=2, period=50).collect()
+    assert len(got) == 602 and len({(r.source, r.id) for r in got}) == 602
+    held = {r.slot: (r.source, r.block) for r in got}
+    assert len(set(held.values())) == len(held) and sorted(held) == list(range(len(held)))  # one block a slot, no gap
+    assert all(r.release <= r.slot < r.deadline for r in got)
+    rare = next(r for r in got if r.source == "rare")
+    assert rare.phase == 0 and sum(r.phase > 0 for r in got) > 300
+    assert mixing.schedule_all(awkward).count() == 14 and mixing.schedule_all(nothing).count() == 0
+
+
+def test_phases_keep_the_shares_when_a_source_runs_dry():
+    blocks = {"a": 4000, "b": 2000, None: 1}
+    planned = mixing.phases(blocks, {"a": 2.0, "b": 1.0, None: 0.001}, 100)
+    assert sum(size for _, size, *_ in planned) == 6001
+    assert [sorted(map(str, share)) for _, _, _, share, _ in planned][:2] == [["None", "a", "b"], ["a", "b"]]
+    assert all(abs(share["a"] - 2 * share["b"]) <= 3 for _, _, _, share, _ in planned if "b" in share and "a" in share)
+
+
+def test_pipeline_mix_keeps_every_document(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i}", "rare" if i == 7 else f"s{i % 3}") for i in range(40_000)] + [(None, "no id", None), (3, "again", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(str, corpus_pipeline.mix_sources(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+
+
 def test_buckets_of_ranks_give_one_order(spark):
     frame = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(500)], "doc_id long, source string")
     one, many = (sorted(map(str, mixing.ranked(frame, "doc_id", "source", 3, n).collect())) for n in (10_000, 5))
