@@ -10,10 +10,10 @@ Equal fingerprints are one row of the search.  Groups that share a key are compa
 blocks (`common.block_pairs`), and a task emits a spanning forest of the links it found instead of every pair: the same
 components, and no more rows than it has read.
 
-`near_duplicates` links by bits alone.  `similar_texts` asks for a similarity of the shingle sets instead: its fingerprints have 512 bits,
-enough for partitions as wide as the number of texts calls for, all with threshold 0.  That misses nothing within
-partitions - 1 bits, finds texts of a similarity of 0.9 with all but certainty and most at 0.8, and the distance of the whole
-fingerprints, which estimates the angle between the sets to a few hundredths, decides.
+`near_duplicates` links by bits alone.  `similar_texts` asks for a similarity of the shingle sets instead.  Its fingerprints have 512
+bits; a guarantee over a radius that wide would take too many masked keys, so it bounds the chance of a miss: each key is a random
+choice of bits, and there are as many keys as leave a pair at the similarity asked for without a shared key with a chance of at most
+MISS, at any number of texts (wider keys come with more of them).  The distance of the leading bits decides.
 
 Null texts count as empty (fingerprint zero).  Rows without an id keep their fingerprint but link with nothing.  Repeated ids
 and rows stay.  Only the named columns are read.
@@ -213,13 +213,9 @@ WIDE = 512
 
 def wide_fingerprint(text: str, shingle: int) -> bytes:
     """Like `fingerprint`, over the set of shingles, with WIDE bits from one hash mixed once for each lane."""
-    import xxhash
-
-    words = text.encode().translate(_LOWER).split()
-    parts = {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-    if not parts:
+    base = shingle_set(text, shingle)
+    if not len(base):
         return bytes(WIDE // 8)
-    base = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
     out = []
     for lane in range(WIDE // BITS):
         counts = np.zeros(BITS, np.int64)
@@ -232,37 +228,61 @@ def wide_fingerprint(text: str, shingle: int) -> bytes:
     return b"".join(out)
 
 
-def radius_of(similarity: float) -> int:
-    """Bits of WIDE that differ, on average, between sets of like size with this Jaccard similarity."""
-    return int(WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+#: Chance that a pair at the similarity asked for shares no key, bits of the shortest keys, texts of a key by chance from which keys widen.
+MISS, KEY_BITS, KEY_TEXTS = 0.01, 16, 256
+#: Leading bits that keys carry along.
+LEADING = 256
+
+
+def flips(similarity: float) -> float:
+    """Part of the bits that differ between sets with this Jaccard similarity: the angle of sets of like size, and 0.01 for short ones."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi) + 0.01
+
+
+def wide_keys(n: int, similarity: float) -> np.ndarray:
+    """Bits of each key for n texts, dealt from random orders of all bits: one row a key, as many as keep to MISS."""
+    width = max(KEY_BITS, int(np.ceil(np.log2(max(n, 2) / KEY_TEXTS))))
+    number = int(np.ceil(np.log(MISS) / np.log1p(-(1 - flips(similarity)) ** width)))
+    rng, each = np.random.default_rng(SEED), WIDE // width
+    return np.concatenate([rng.permutation(WIDE)[:each * width].reshape(each, width) for _ in range(-(-number // each))])[:number]
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles."""
+    import xxhash
+
+    words = text.encode().translate(_LOWER).split()
+    parts = {b" ".join(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
 
 
 def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts linked by a similarity of their shingle sets of ``similarity`` or more."""
     kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    held = written(df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(prints, f"doc_id {kind}, fp binary"), "wide-fingerprints")
-    points = written(held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").cast("long").alias("id")), "wide-classes")
-    width = min(20, max(12, int(np.ceil(np.log2(max(points.count(), 2))))))
-    radius, keys = radius_of(similarity), ["k", "v", "b1", "b2"]
-    order = wide_bits(points)
+    held = written(texts.mapInArrow(prints, f"doc_id {kind}, fp binary, digest long"), "wide-fingerprints")
+    first = held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "digest")).alias("first"))
+    points = written(first.select("fp", "first.id", "first.digest"), "wide-classes")
+    chosen, keys = wide_keys(points.count(), similarity), ["k", "v", "b1", "b2"]
+    radius = int(LEADING * (flips(similarity) - 0.01))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(width)
+        weights = 1 << np.arange(chosen.shape[1])
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 fp = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(fp, axis=1, bitorder="little")[:, order]
-                for k in range(WIDE // width):
-                    value = bits[:, k * width:(k + 1) * width] @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)), pa.array(value.astype(np.int32)), part.column(1), part.column(0)], names=["k", "v", "id", "fp"])
+                bits = np.unpackbits(fp, axis=1, bitorder="little")
+                lead = pa.array([x.tobytes() for x in fp[:, :LEADING // 8]], pa.binary())
+                for k, own in enumerate(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)), pa.array((bits[:, own] @ weights).astype(np.int32)), part.column(1), lead], names=["k", "v", "id", "fp"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, keys):
             lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(table.num_rows, -1)
             a, b = links_in(lanes, bounds, radius)
@@ -272,33 +292,10 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     keyed = points.select("fp", "id").mapInArrow(probe, "k int, v int, id long, fp binary")
     laid = block_pairs(keyed, ["k", "v"], F.col("id"), block).select(*keys, "id", "fp")
-    found = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long").distinct())
+    found = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long").distinct())
     classes = written(points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "wide-components")
     return held.join(classes, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def wide_bits(points: DataFrame) -> np.ndarray:
-    """The bits in an order that puts correlated ones of a lane side by side, so that they share partitions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((WIDE // BITS, BITS, BITS)), 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                bits = np.unpackbits(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little").astype(np.float32)
-                lanes = bits.reshape(part.num_rows, -1, BITS).transpose(1, 0, 2)
-                total += lanes.transpose(0, 2, 1) @ lanes
-                n += part.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, total.size)), pa.array(np.append(n, total.ravel()).astype(np.int64))], names=["cell", "n"])
-
-    cells = {r.cell: r.n for r in points.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    n, out = cells.get(-1, 0), []
-    for lane in range(WIDE // BITS):
-        both = np.array([cells.get(lane * BITS * BITS + i, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS)
-        out += [lane * BITS + b for group in grouped_bits(correlations(n, both), 4) for b in group]
-    return np.array(out)
-
-
 def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -97,6 +97,18 @@ def test_similar_texts(spark, awkward, nothing):
     assert simhash.similar_texts(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [1_000, 500_000, 20_000_000, 1_000_000_000])
+def test_wide_keys_recall_at_any_size(n):
+    rng = np.random.default_rng(3)
+    keys = simhash.wide_keys(n, 0.8)
+    own = 30  # sets of 270 with a similarity of 0.8
+    apart = np.zeros((2000, simhash.WIDE), bool)
+    for bit in range(simhash.WIDE):
+        c = rng.binomial(240, 0.5, 2000)
+        apart[:, bit] = (2 * (c + rng.binomial(own, 0.5, 2000)) > 270) != (2 * (c + rng.binomial(own, 0.5, 2000)) > 270)
+    assert (~apart[:, keys].any(2)).any(1).mean() >= 0.985
+
+
 def brute_vectors(rows):
     ok = {i: (np.array(v, float), l) for i, v, l in rows if i is not None and v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = []
