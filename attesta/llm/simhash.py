@@ -13,7 +13,9 @@ components, and no more rows than it has read.
 `near_duplicates` links by bits alone.  `similar_texts` asks for a similarity of the shingle sets instead.  Its fingerprints have 512
 bits; a guarantee over a radius that wide would take too many masked keys, so it bounds the chance of a miss: each key is a random
 choice of bits, and there are as many keys as leave a pair at the similarity asked for without a shared key with a chance of at most
-MISS, at any number of texts (wider keys come with more of them).  The distance of the leading bits decides.
+MISS, at any number of texts (wider keys come with more of them).  Pairs that share a key and whose leading bits are within
+several deviations of the distance expected at that similarity link candidate groups; inside a group the Jaccard similarity of the
+whole sets of shingles decides, for all pairs.  Equal fingerprints of 512 bits count as equal sets.
 
 Null texts count as empty (fingerprint zero).  Rows without an id keep their fingerprint but link with nothing.  Repeated ids
 and rows stay.  Only the named columns are read.
@@ -230,8 +232,8 @@ def wide_fingerprint(text: str, shingle: int) -> bytes:
 
 #: Chance that a pair at the similarity asked for shares no key, bits of the shortest keys, texts of a key by chance from which keys widen.
 MISS, KEY_BITS, KEY_TEXTS = 0.01, 16, 256
-#: Leading bits that keys carry along.
-LEADING = 256
+#: Leading bits that keys carry along, deviations from their expected distance, rows of a block of shingle sets.
+LEADING, DEVIATIONS, SET_BLOCK = 256, 4, 256
 
 
 def flips(similarity: float) -> float:
@@ -256,6 +258,20 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of these sets have a Jaccard similarity of ``similarity`` or more, by counting all shared members."""
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(size)))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    out, held = np.zeros((len(sets), len(sets)), bool), np.zeros(len(values), bool)
+    for i in range(len(sets)):
+        held[:] = False
+        held[place[starts[i]:starts[i + 1]]] = True
+        shared = np.diff(np.concatenate(([0], np.cumsum(held[place])))[starts])
+        out[i] = shared >= similarity * np.maximum(size + size[i] - shared, 1) - 1e-9
+    return out
+
+
 def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts linked by a similarity of their shingle sets of ``similarity`` or more."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -269,7 +285,7 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     first = held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "digest")).alias("first"))
     points = written(first.select("fp", "first.id", "first.digest"), "wide-classes")
     chosen, keys = wide_keys(points.count(), similarity), ["k", "v", "b1", "b2"]
-    radius = int(LEADING * (flips(similarity) - 0.01))
+    radius = int(LEADING * flips(similarity) + DEVIATIONS * np.sqrt(LEADING * flips(similarity) * (1 - flips(similarity))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(chosen.shape[1])
@@ -292,10 +308,36 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
 
     keyed = points.select("fp", "id").mapInArrow(probe, "k int, v int, id long, fp binary")
     laid = block_pairs(keyed, ["k", "v"], F.col("id"), block).select(*keys, "id", "fp")
-    found = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long").distinct())
+    groups = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long").distinct())
+    found = components(_alike_links(texts, points.join(groups, points.id == groups.node).select("id", "digest", "component"), shingle, similarity, min(block, SET_BLOCK)))
     classes = written(points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "wide-components")
     return held.join(classes, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _alike_links(texts: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): spanning links of the texts of one candidate group (``members``: id, digest, component) that are similar enough."""
+    keys = ["component", "b1", "b2"]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["component", "id", "members"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, keys):
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                own = table.slice(s, e - s)
+                label = forest(alike([np.frombuffer(x, np.uint64) for x in own.column("members").to_pylist()], similarity))
+                at = np.flatnonzero(label != np.arange(e - s))
+                if len(at):
+                    ids = own.column("id").to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"])
+
+    members = members.withColumnRenamed("digest", "own")
+    chosen = texts.join(members, (F.col("doc_id").cast("long") == F.col("id")) & (F.col("digest") == F.col("own"))).dropDuplicates(["id", "own", "component"])
+    found = written(chosen.select("component", "id", "text").mapInArrow(sets, "component long, id long, members binary"), "shingle-sets")
+    laid = block_pairs(found, ["component"], F.col("id"), block).select(*keys, "id", "members")
+    return laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(decide, "a long, b long").distinct()
+
+
 def hex_of(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -97,6 +97,24 @@ def test_similar_texts(spark, awkward, nothing):
     assert simhash.similar_texts(nothing).count() == 0
 
 
+def near_pairs(first, shares, n):
+    """Texts 2 i and 2 i + 1 whose shingle sets share one of ``shares`` of 250 shingles."""
+    texts = []
+    for i in range(first, first + n):
+        inter = shares[i % len(shares)]
+        common = [f"c{i}_{k}" for k in range(inter + 4)]
+        texts += [" ".join(common + [f"{x}{i}_{k}" for k in range((250 - inter) // 2)]) for x in "ab"]
+    return texts
+
+
+def test_similar_texts_decide_by_the_exact_similarity(spark):
+    texts = near_pairs(0, (200,), 300) + near_pairs(300, (204, 212), 100) + near_pairs(400, (196, 198), 300)
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = [got[i] == got[i + 1] for i in range(0, len(texts), 2)]
+    assert sum(linked[:300]) >= 0.98 * 300 and sum(linked[300:400]) >= 99  # at 0.8, and somewhat above
+    assert not any(linked[400:])  # somewhat below
+
+
 @pytest.mark.parametrize("n", [1_000, 500_000, 20_000_000, 1_000_000_000])
 def test_wide_keys_recall_at_any_size(n):
     rng = np.random.default_rng(3)
