@@ -2,12 +2,13 @@
 
 Directions come from a random product code: the turned vector is cut into two blocks, each with its own list of random unit
 vectors, and every pair of one from either list is a filter.  A vector is in all filters whose direction it exceeds a threshold
-with; they are listed from the two short score lists without trying all pairs.  Vectors that share a filter and a label
+with, and in its ``per_vector`` best ones whether or not it exceeds them; they are listed from the two short score lists without trying all pairs.  Vectors that share a filter and a label
 are compared in double precision, each pair in its smallest shared filter only, so link counts need no shuffle of pairs.
 
 Equal vectors of a label are one row of the search, with their number.  Large filters are compared as pairs of blocks.
 The number of filters follows the largest label, so a filter's load stays level as the data grow; the threshold is set so that
-a vector is in ``per_vector`` filters on average.  Vectors that are null, zero, or hold null or non-finite components, and rows
+a vector exceeds ``per_vector`` filters on average.  At more filters the threshold rises, and more and more vectors would exceed few
+or none; the best ones keep the recall level.  Vectors that are null, zero, or hold null or non-finite components, and rows
 without a label or an id, link with nothing.  Recall against brute force is measured in the tests.
 """
 
@@ -39,6 +40,7 @@ class Code:
         a, b = self._scores(probe)
         some = rng.integers(0, side, (2, 512, 8192))
         sums = np.take_along_axis(a, some[0], 1) + np.take_along_axis(b, some[1], 1)
+        self.least = min(int(np.ceil(per_vector)), side)
         self.threshold = float(np.quantile(sums, 1 - min(1.0, per_vector / (side * side))))
 
     def _scores(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,15 +48,22 @@ class Code:
         return a, turned[:, self.half:] @ self.lists[1].T if len(self.lists) > 1 else np.zeros_like(a)
 
     def filters(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of all filters that the unit vectors exceed, in order of row and filter."""
+        """(row, filter) of all filters that the unit vectors exceed, and of the ``least`` best of each, in order of row and filter."""
         a, b = self._scores(unit @ self.turn)
         row, i = np.nonzero(a + b.max(1, keepdims=True) >= self.threshold)
-        rows, out = [], []
+        width = a.shape[1] * b.shape[1]
+        out = [self._best(a, b) + np.arange(len(a))[:, None] * width]
         for s in range(0, len(row), 4096):
             k, j = np.nonzero(a[row[s:s + 4096], i[s:s + 4096], None] + b[row[s:s + 4096]] >= self.threshold)
-            rows.append(row[s:s + 4096][k])
-            out.append(i[s:s + 4096][k] * b.shape[1] + j)
-        return (np.concatenate(rows), np.concatenate(out)) if rows else (row, row)
+            out.append(row[s:s + 4096][k] * width + i[s:s + 4096][k] * b.shape[1] + j)
+        return np.divmod(np.unique(np.concatenate([x.ravel() for x in out])), width)
+
+    def _best(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ``least`` filters of highest score of each row: both directions are among the ``least`` best of their lists."""
+        i, j = (np.argpartition(-x, self.least - 1, 1)[:, :self.least] for x in (a, b))
+        sums = (np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]).reshape(len(a), -1)
+        at = np.argpartition(-sums, self.least - 1, 1)[:, :self.least]
+        return np.take_along_axis(i, at // self.least, 1) * b.shape[1] + np.take_along_axis(j, at % self.least, 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -176,6 +176,39 @@ def test_caps_recall_on_the_table(spark):
     assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
 
 
+def planted(rng, n, dims, cosine=0.98):
+    a, w = rng.normal(size=(n, dims)), rng.normal(size=(n, dims))
+    a /= np.sqrt((a * a).sum(1))[:, None]
+    w -= (w * a).sum(1)[:, None] * a
+    w /= np.sqrt((w * w).sum(1))[:, None]
+    return a, cosine * a + np.sqrt(1 - cosine * cosine) * w
+
+
+@pytest.mark.parametrize("n", [10, 200, 7_000, 100_000, 10_000_000])
+def test_caps_recall_at_any_size(n):
+    side = max(8, int(np.ceil(np.sqrt(n * caps.PER_VECTOR / caps.PER_FILTER))))
+    code, found = caps.Code(64, side, caps.PER_VECTOR), []
+    for unit in planted(np.random.default_rng(8), 400, 64):
+        row, filters = code.filters(unit)
+        assert (np.diff(row) >= 0).all() and np.bincount(row, minlength=400).min() >= 8
+        assert np.bincount(row).mean() < 3 * caps.PER_VECTOR
+        found.append([set(x) for x in np.split(filters, np.searchsorted(row, np.arange(1, 400)))])
+    assert np.mean([bool(x & y) for x, y in zip(*found)]) >= 0.97
+
+
+def test_caps_recall_with_a_large_label(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(9)
+    a, b = planted(rng, 1_000, 64, 0.9801)
+    vecs = np.concatenate((a, b, rng.normal(size=(100_000, 64)))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(vecs)), "embedding": pa.array(list(vecs), pa.list_(pa.float32())), "label": np.ones(len(vecs), np.int32)}), tmp_path / "v.parquet")
+    found = caps.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet")).repartition(16)).where("n_links > 0").collect()
+    assert all(r.n_links == 1 and r.component_id == r.vec_id % 1000 for r in found)
+    assert len(found) >= 0.97 * 2_000
+
+
 def brute_repeats(rows, width):
     first = {}
     for i, t in rows:
