@@ -60,6 +60,21 @@ def nfkc(text: Column, fold: bool = True) -> Column:
     return F.coalesce(_nfkc(wide), text)
 
 
+@F.pandas_udf(ST.ArrayType(ST.StringType()))
+def _nfkc_each(lists: pd.Series) -> pd.Series:
+    form = lambda v: None if v is None else unicodedata.normalize("NFKC", v)
+    return lists.map(lambda vs: None if vs is None else [form(v) for v in vs])
+
+
+def nfkc_each(texts: Column) -> Column:
+    """Unicode NFKC of every element of an array; arrays without a non-ASCII element stay in the JVM.
+
+    A Python helper can't stand inside a lambda, so this is a column of its own and not a transform over `nfkc`.
+    """
+    wide = F.when(F.exists(texts, lambda v: v.rlike(r"[^\x00-\x7F]")), texts)
+    return F.coalesce(_nfkc_each(wide), texts)
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ +| +$", "")
 
@@ -118,10 +133,18 @@ def trim_edges(text: Column) -> Column:
     return F.regexp_replace(text, f"^{cls}|{cls}$", "")
 
 
-def comparison_form(text: Column, fold: bool = True) -> Column:
+def comparison_form(text: Column) -> Column:
     """How a transcription is compared to a reading: folded, lower case, collapsed, edges stripped."""
-    spaced = F.regexp_replace(F.lower(nfkc(text, fold)), r"(?U)\s+", " ")
-    return trim_edges(spaced)
+    return _comparable(nfkc(text))
+
+
+def comparison_forms(texts: Column) -> Column:
+    """`comparison_form` of every element of an array."""
+    return F.transform(nfkc_each(texts), _comparable)
+
+
+def _comparable(folded: Column) -> Column:
+    return trim_edges(F.regexp_replace(F.lower(folded), r"(?U)\s+", " "))
 
 
 def duplicate_form(text: Column) -> Column:
@@ -129,16 +152,14 @@ def duplicate_form(text: Column) -> Column:
     return F.lower(collapse(F.coalesce(text, F.lit(""))))
 
 
-def value_matches(expected: Column, values: Column, evidence: Column, fold: bool = True) -> Column:
-    """Equal to any comparable value, or contained in the evidence line.  No unit conversion."""
-    def test(target):
-        equal = F.exists(values, lambda v: comparison_form(v, False) == target)
-        return (F.length(target) > 0) & (
-            F.coalesce(equal, F.lit(False))
-            | F.coalesce(F.contains(comparison_form(evidence, fold), target), F.lit(False))
-        )
+def value_matches(expected: Column, values: Column, evidence: Column) -> Column:
+    """Equal to any comparable value, or contained in the evidence line.  No unit conversion.
 
-    return let(comparison_form(expected, fold), test)
+    All three are given in their comparison forms (`comparison_form`, `comparison_forms`), as plain columns.
+    """
+    never = F.lit(False)
+    return (F.length(expected) > 0) & (
+        F.coalesce(F.array_contains(values, expected), never) | F.coalesce(F.contains(evidence, expected), never))
 
 
 def machine_marker(name: Column) -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from attesta import vocabulary as V
 
-RUN_STATUSES = ("completed", "partial", "failed")
-SHA256, ISO_DATE = r"^[0-9a-f]{64}$", r"^\d{4}-\d{2}-\d{2}$"
 VERIFICATION_COLUMNS = ("label_verified_by", "label_verified_on", "label_verification_ref")
 
 
@@ -42,7 +40,7 @@ def reading_contract(runs: DataFrame, readings: DataFrame) -> DataFrame:
     """(run_id, problem) of runs whose status, time or any reading breaks the contract."""
     time, confidence = F.col("processing_ms"), F.col("confidence")
     of_runs = problems(runs, F.col("run_id"), {
-        "unknown status": ~F.coalesce(F.col("status").isin(*RUN_STATUSES), F.lit(False)),
+        "unknown status": ~F.coalesce(F.col("status").isin(*V.RUN_STATUSES), F.lit(False)),
         "processing time": time.isNull() | ~time.between(0, V.MAX_PROCESSING_MS),
     })
     of_readings = problems(readings, F.col("run_id"), {
@@ -75,7 +73,7 @@ def condition_problems(conditions: DataFrame) -> DataFrame:
     named = ~empty("category_code")
     by_category = F.col("determination") == "product_category"
     return problems(conditions, F.col("condition_code"), {
-        "unknown determination": ~F.coalesce(F.col("determination").isin("product_category", "user_declared", "not_determinable"), F.lit(False)),
+        "unknown determination": ~F.coalesce(F.col("determination").isin(*V.DETERMINATIONS), F.lit(False)),
         "category missing": by_category & ~named, "category not asked for": ~by_category & named,
     }).union(repeated(conditions, "condition_code", "repeated code"))
 
@@ -125,7 +123,7 @@ def example_problems(examples: DataFrame, taxonomy: DataFrame) -> DataFrame:
         "text source": ~F.coalesce(F.col("text_source").isin(*V.TEXT_SOURCES), F.lit(False)),
         "reader of the text": (F.col("text_source") == "ocr") & (empty("ocr_engine") | empty("ocr_engine_version")),
         "verification in part": (given > 0) & (given < len(VERIFICATION_COLUMNS)),
-        "image digest": F.col("image_sha256").isNotNull() & ~F.col("image_sha256").rlike(SHA256),
+        "image digest": F.col("image_sha256").isNotNull() & ~F.col("image_sha256").rlike(V.SHA256),
     }).union(repeated(examples, "example_id", "repeated id"))
 
 
@@ -133,9 +131,9 @@ def sample_problems(samples: DataFrame) -> DataFrame:
     """Entries of a frozen set: id, digest, date, and a relative path that stays inside."""
     path = F.col("path")
     return problems(samples, F.col("sample_id"), {
-        "id": ~F.coalesce(F.col("sample_id").rlike(r"^[a-z0-9][a-z0-9\-]*$"), F.lit(False)),
-        "digest": ~F.coalesce(F.col("sha256").rlike(SHA256), F.lit(False)),
-        "date": F.col("captured_on").isNotNull() & (~F.col("captured_on").rlike(ISO_DATE) | F.expr("try_cast(captured_on AS date)").isNull()),
+        "id": ~F.coalesce(F.col("sample_id").rlike(V.SAMPLE_ID), F.lit(False)),
+        "digest": ~F.coalesce(F.col("sha256").rlike(V.SHA256), F.lit(False)),
+        "date": F.col("captured_on").isNotNull() & ~F.col("captured_on").rlike(V.DATE_SHAPE),
         "path": empty("path") | path.startswith("/") | F.contains(path, F.lit("\\")) | F.array_contains(F.split(path, "/"), ".."),
     }).union(repeated(samples, "sample_id", "repeated id"))
 

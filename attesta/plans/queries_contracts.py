@@ -45,7 +45,7 @@ def unread_from_raw_output(i):
 
 
 _CONDITIONS = """
-SELECT concat('c', CAST(p_partkey % 1900 AS STRING)) AS condition_code, CASE p_partkey % 4 WHEN 0 THEN 'product_category' WHEN 1 THEN 'user_declared' WHEN 2 THEN 'guessed' ELSE 'not_determinable' END AS determination,
+SELECT concat('c', CAST(p_partkey % 1900 AS STRING)) AS condition_code, CASE p_partkey % 4 WHEN 0 THEN 'product_category' WHEN 1 THEN 'user_declared' WHEN 2 THEN CASE WHEN p_partkey % 8 = 2 THEN 'guessed' ELSE 'database' END ELSE 'not_determinable' END AS determination,
   CASE WHEN p_partkey % 6 < 2 THEN 'packaged-food' WHEN p_partkey % 6 = 2 THEN ' ' END AS category_code FROM {part}"""
 
 
@@ -98,13 +98,13 @@ def example_problems(i):
 
 
 _SAMPLES = """
-SELECT CASE WHEN doc_id % 31 = 0 THEN 'Bad Id' ELSE concat('s', CAST(doc_id AS STRING)) END AS sample_id, CASE WHEN doc_id % 7 = 0 THEN 'abc' ELSE sha256(CAST(doc_id AS STRING)) END AS sha256,
+SELECT CASE WHEN doc_id % 31 = 0 THEN 'Bad Id' WHEN doc_id % 31 = 1 THEN concat('Set_2.', CAST(doc_id AS STRING), '-B') WHEN doc_id % 31 = 2 THEN rpad(concat('n', CAST(doc_id AS STRING), 'n'), 129, 'z') ELSE concat('s', CAST(doc_id AS STRING)) END AS sample_id, CASE WHEN doc_id % 7 = 0 THEN 'abc' ELSE sha256(CAST(doc_id AS STRING)) END AS sha256,
   CASE WHEN doc_id % 11 = 0 THEN '2026-02-30' WHEN doc_id % 11 = 1 THEN 'May' WHEN doc_id % 11 = 2 THEN CAST(NULL AS STRING) ELSE '2026-02-03' END AS captured_on,
   CASE WHEN doc_id % 13 = 0 THEN '/etc/x' WHEN doc_id % 13 = 1 THEN 'a/../b' WHEN doc_id % 13 = 2 THEN '' ELSE concat('images/', source, '..png') END AS path FROM {documents}"""
 
 
 @query("sample_problems", f"""WITH s AS ({B.duck(_SAMPLES).replace("sha256(CAST(doc_id AS STRING))", "sha256(CAST(doc_id AS VARCHAR))")})
-SELECT sample_id AS subject, 'id' AS problem FROM s WHERE sample_id = 'Bad Id' UNION ALL SELECT sample_id, 'digest' FROM s WHERE sha256 = 'abc' UNION ALL SELECT sample_id, 'date' FROM s WHERE captured_on IN ('2026-02-30', 'May')
+SELECT sample_id AS subject, 'id' AS problem FROM s WHERE sample_id = 'Bad Id' OR length(sample_id) > 128 UNION ALL SELECT sample_id, 'digest' FROM s WHERE sha256 = 'abc' UNION ALL SELECT sample_id, 'date' FROM s WHERE captured_on = 'May'
 UNION ALL SELECT sample_id, 'path' FROM s WHERE path IN ('/etc/x', 'a/../b', '') UNION ALL SELECT sample_id, 'repeated id' FROM s GROUP BY sample_id HAVING count(*) > 1""")
 def sample_problems(i):
     return C.sample_problems(i.sql(_SAMPLES.replace("sha256(CAST(doc_id AS STRING))", "sha2(CAST(doc_id AS STRING), 256)")))

@@ -9,7 +9,7 @@ from attesta.operators import classify as M, quality as Q
 from attesta.plans import bindings as B
 from attesta.plans.catalog import query
 
-_KEYS = "CASE l_linenumber WHEN 1 THEN 'net_quantity' WHEN 2 THEN 'retail_sale_price' WHEN 3 THEN 'date_of_manufacture' WHEN 4 THEN 'consumer_care_contact' WHEN 5 THEN 'manufacturer_name' WHEN 6 THEN 'country_of_origin' ELSE 'best_before' END"
+_KEYS = "CASE l_linenumber WHEN 1 THEN 'net_quantity' WHEN 2 THEN 'retail_sale_price' WHEN 3 THEN 'date_of_manufacture' WHEN 4 THEN 'consumer_care_contact' WHEN 5 THEN 'manufacturer_name' WHEN 6 THEN 'country_of_origin' ELSE CASE WHEN l_orderkey % 3 = 0 THEN 'common_or_generic_name' ELSE 'best_before' END END"
 _SAMPLES = "SELECT o_orderkey AS sample_id FROM {orders}"
 # lines repeat (order, line number); one annotation and one prediction per (sample, key)
 _ANNOTATIONS = f"""
@@ -35,7 +35,8 @@ k(key) AS (VALUES {', '.join(f"('{x}')" for x in V.SUPPORTED_KEYS)}),
 cells AS (SELECT s.sample_id, k.key, coalesce(a.state, 'unknown') AS state, p.key IS NOT NULL AS emitted, coalesce(p.committed, FALSE) AS has_value,
   (p.key IS NOT NULL AND NOT p.committed) OR u.key IS NOT NULL AS declined, coalesce(p.uncertain, FALSE) AS uncertain,
   coalesce(rtrim(lower(a.value), '.') = p.scalar OR contains(p.raw_value, rtrim(lower(a.value), '.')), FALSE) AS matches
-  FROM s CROSS JOIN k LEFT JOIN a USING (sample_id, key) LEFT JOIN p USING (sample_id, key) LEFT JOIN u USING (sample_id, key)),
+  FROM s CROSS JOIN k LEFT JOIN a USING (sample_id, key) LEFT JOIN p USING (sample_id, key) LEFT JOIN u USING (sample_id, key)
+  UNION ALL SELECT sample_id, key, 'unknown', FALSE, FALSE, FALSE, FALSE, FALSE FROM a WHERE key NOT IN (SELECT key FROM k)),
 t AS (SELECT *, CASE WHEN state = 'present_and_readable' AND has_value AND NOT matches THEN 'wrong_value' WHEN state = 'present_and_readable' AND NOT has_value THEN 'missed_readable_declaration'
   WHEN state = 'present_but_unreadable' AND has_value THEN 'fabricated_value' WHEN state = 'present_but_unreadable' AND NOT declined THEN 'missed_unread_declaration'
   WHEN state = 'not_present' AND has_value THEN 'value_for_absent_declaration' WHEN state = 'not_present' AND declined THEN 'named_an_absent_declaration' END AS kind FROM cells)

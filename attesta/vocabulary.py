@@ -175,6 +175,7 @@ NAME_DECLARATIONS = (
 )
 EDGE_PUNCTUATION = r" \t.,:;\-–—|/\\"
 
+# --- fixed values: unread anchors, typographic forms, markers, placeholder ids, outcomes -----------
 # anchors that are strong enough to report a declaration as named but unread
 UNREAD_ANCHORS = (
     ("net_quantity", NET_QUANTITY_ANCHOR),
@@ -320,6 +321,14 @@ CONDITIONS = (
     ("registered-manufacturer-packer-importer", "Registration held under Chapter VI", "database", None),
 )
 
+# --- fixed values: scope clauses, links, check types, states and shapes of identifiers -------------
+DETERMINATIONS = ("product_category", "user_declared", "database", "not_determinable")
+RUN_STATUSES = ("completed", "partial", "failed")
+SAMPLE_ID = r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,127}$"
+VERSION_NAME = r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,63}$"
+SHA256 = r"^[0-9a-f]{64}$"
+DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
+
 SCOPE_CLAUSES = ("3", "26")
 # clause, mode, condition codes
 LINKS = (

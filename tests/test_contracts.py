@@ -73,3 +73,9 @@ def test_an_image_of_two_products_keeps_one_run(spark):
     requests = spark.createDataFrame([(1, 7, None, None)], "run_id int, image_id int, explicit_product_id string, stated_category string")
     images = spark.createDataFrame([(7, "b"), (7, "a")], "image_id int, product_id string")
     assert [(r.product_id, r.origin) for r in P.choose_product(requests, images).collect()] == [("a", "image")]
+
+
+def test_the_shipped_framework_breaks_no_rule_of_its_own(spark):
+    from attesta.plans.bindings import Inputs
+
+    assert C.condition_problems(Inputs(spark, "").conditions).count() == 0
