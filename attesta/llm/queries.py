@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attesta.llm import bpe, caps, mixing, repeats, simhash, token_counts, token_file, topk, toxicity, urls
+from attesta.llm import bpe, caps, mixing, repair, repeats, secrets, simhash, token_counts, token_file, topk, toxicity, urls, whitening
 from attesta.llm.common import new_path
 from attesta.session import table
 
@@ -118,5 +118,25 @@ def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     return digests(bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN))
 
 
+@query("op11_whitening")
+def whitening_query(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), keep=16, scale=64, offset=1_000_000)
+
+
+@query("op12_repair")
+def repair_query(spark: SparkSession, folder: str) -> DataFrame:
+    rows = repair.damaged(table(spark, folder, "conversations"))
+    return repair.repaired_conversations(rows, repair.plan(rows))
+
+
+@query("op13_secrets")
+def secrets_query(spark: SparkSession, folder: str) -> DataFrame:
+    found, hits = secrets.find_secrets(table(spark, folder, "documents")), F.col("hits")
+    base = [r.kind for r in secrets.BASE]
+    return found.select(
+        "doc_id", *[secrets.count_of(hits, k).alias(f"n_{k}") for k in base],
+        F.sha2(secrets.spans_of(hits, base), 256).alias("base_sha256"), secrets.spans_of(hits).alias("spans"))
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
