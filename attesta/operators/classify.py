@@ -1,4 +1,4 @@
-"""Text classification: TF-IDF features, linear scoring with abstention, and cross-validation.
+"""Text classification: TF-IDF features, linear scoring with abstention, and folds; `training` fits the models.
 
 Model tables: ``model_term(term, idf, weights)`` where ``weights`` holds one coefficient per class
 in class order, and the intercepts as a plain list.  Scoring joins on the term once and needs one
@@ -78,8 +78,13 @@ def sigmoid_pair(score: Column) -> Column:
 def decide(docs: DataFrame, scored: DataFrame, classes: Sequence[str], key: str = "doc_id", text: str = "text",
            fold: bool = True) -> DataFrame:
     """The abstaining decision: too little text, no known term, or a weak category mean unknown."""
-    category = {s: c for s, c, _ in V.TAXONOMY}
     rows = docs.select(key, F.size(T.word_tokens(T.preprocess_text(F.col(text), fold))).alias("tokens")).join(scored, key, "left")
+    return decided(rows, classes, key)
+
+
+def decided(rows: DataFrame, classes: Sequence[str], *keep) -> DataFrame:
+    """The decision of each row with its number of ``tokens``, ``known_terms`` and ``scores`` (null where nothing is known)."""
+    category = {s: c for s, c, _ in V.TAXONOMY}
     rows = rows.withColumn("p", softmax(F.col("scores")))
     prob = lambda i: F.get("p", F.lit(i))
     mass = lambda cat: sum((prob(i) for i, s in enumerate(classes) if category[s] == cat), F.lit(0.0))
@@ -101,7 +106,7 @@ def decide(docs: DataFrame, scored: DataFrame, classes: Sequence[str], key: str
     full = F.col("reason") == "committed"
     four = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 4)
     return rows.select(
-        key, F.when(said, F.col("best.c")).otherwise(F.lit(V.UNKNOWN)).alias("category"),
+        *keep, F.when(said, F.col("best.c")).otherwise(F.lit(V.UNKNOWN)).alias("category"),
         F.when(full, F.col("sub.s")).alias("subcategory"), F.when(said, four(F.col("best.m"))).alias("confidence"),
         F.when(full, four(F.col("sub.m"))).alias("subcategory_confidence"), "reason")
 
@@ -131,37 +136,6 @@ def class_weights(examples: DataFrame, label: str) -> DataFrame:
         label, (F.col("n") / (F.col("k") * F.col("n_c"))).alias("weight"))
 
 
-def train(examples: DataFrame, vocabulary: DataFrame, label: str, text: str = "text", c: float = 1.0):
-    """Fit a balanced logistic regression on the TF-IDF rows of ``examples`` (already trainable) with Spark ML.
-
-    Returns (classes, model terms, intercepts).  A linear model is one coefficient per term and class in memory, so the
-    vocabulary is on the driver; the rows stay distributed, and ML's own transformers count, scale and normalise them.
-    Two classes are one sigmoid: the first has the score 0.
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
-    from pyspark.ml.linalg import Vectors
-
-    spark = examples.sparkSession
-    known = vocabulary.select("term", "idf").orderBy("term").collect()
-    terms = [r.term for r in known]
-    tokens = examples.select(F.col(label), T.ngrams(T.feature_tokens(T.preprocess_text(F.col(text))), 1, 2).alias("terms"))
-    data = tokens.join(class_weights(examples, label).withColumnRenamed("weight", "class_weight"), label)
-    data = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="tf").transform(data)
-    data = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in known]), inputCol="tf", outputCol="weighted").transform(data)
-    data = Normalizer(p=2.0, inputCol="weighted", outputCol="features").transform(data)
-    indexer = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc").fit(data)
-    two = len(indexer.labels) == 2
-    fitted = LogisticRegression(
-        featuresCol="features", labelCol="target", weightCol="class_weight", regParam=1.0 / (c * examples.count()), standardization=False,
-        family="binomial" if two else "multinomial", maxIter=100).fit(indexer.transform(data))
-    rows, bias = fitted.coefficientMatrix.toArray().tolist(), list(fitted.interceptVector)
-    if two:
-        rows, bias = [[0.0] * len(terms), rows[0]], [0.0, bias[0]]
-    model = spark.createDataFrame([(t, [float(r[i]) for r in rows]) for i, t in enumerate(terms)], "term string, weights array<double>")
-    return list(indexer.labels), vocabulary.join(model, "term").select("term", "idf", "weights"), [float(b) for b in bias]
-
-
 def folds(examples: DataFrame) -> DataFrame:
     """(fold, product_id, examples): one held-out product per fold."""
     return examples.groupBy("product_id").agg(F.count(F.lit(1)).alias("held_out")).select(
@@ -173,24 +147,3 @@ def unlearnable_classes(examples: DataFrame, label: str = "subcategory") -> Data
     per = examples.groupBy(label).agg(F.count_distinct("product_id").alias("products"))
     return examples.select("product_id", label).distinct().join(per.where("products = 1"), label).select(
         "product_id", F.col(label).alias("class"))
-
-
-def cross_validate(examples: DataFrame, label: str = "subcategory", key: str = "doc_id", product: str = "product_id",
-                   held_out: Sequence[str] | None = None) -> DataFrame:
-    """Every held-out prediction of a leave-one-product-out run.
-
-    The loop is over products to hold out; each fit and each scoring is a distributed job.
-    """
-    products = held_out or [r[0] for r in examples.select(product).distinct().orderBy(product).toLocalIterator()]
-    counts = term_counts(examples, key)
-    parts = None
-    for p in products:
-        inside, outside = examples.where(F.col(product) != p), examples.where(F.col(product) == p)
-        inside = trainable(inside)
-        n = inside.agg(F.count(F.lit(1)).alias("n"))
-        idf = fit_idf(counts.join(inside.select(key), key, "left_semi"), n)
-        classes, model, bias = train(inside, idf, label)
-        scored = linear_scores(counts.join(outside.select(key), key, "left_semi"), model, bias, key)
-        part = decide(outside, scored, classes, key).withColumn(product, F.lit(p))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta import vocabulary as V
-from attesta.operators import classify as M, quality as Q
+from attesta.operators import classify as M, experiments as X, quality as Q, training as TR
 from attesta.plans import bindings as B
 from attesta.plans.catalog import query
 
@@ -319,9 +319,8 @@ FROM {{part}}"""
 
 def _trained(i, k):
     examples = M.trainable(i.sql(_SEPARABLE.format(k=k)))
+    classes, model, bias = TR.train(examples, "subcategory", TR.Configuration(c=100.0))
     counts = M.term_counts(examples)
-    idf = M.fit_idf(counts, examples.agg(F.count(F.lit(1)).alias("n")))
-    classes, model, bias = M.train(examples, idf, "subcategory", c=100.0)
     return M.decide(examples, M.linear_scores(counts, model, bias), classes).select("doc_id", "category", "subcategory", "reason")
 
 
@@ -339,6 +338,63 @@ def train_three_classes(i):
     return _trained(i, 3)
 
 
+_BRANDS = f"""SELECT e.*, p.p_brand AS product_id FROM ({_SEPARABLE.format(k=3)}) e JOIN {{part}} p ON p.p_partkey = e.doc_id"""
+_DECIDED_BY_BRAND = f"""WITH e AS ({B.duck(_BRANDS)}), d AS (SELECT doc_id, product_id, subcategory AS truth, CASE WHEN subcategory = 'general-food' THEN 'packaged-food' ELSE 'packaged-non-food' END AS category,
+  subcategory, 'committed' AS reason FROM e) """
+
+
+@query("cross_validated_decisions", _DECIDED_BY_BRAND + "SELECT doc_id, product_id, truth, category, subcategory, reason FROM d")
+def cross_validated_decisions(i):
+    """Separable texts, one fold a brand: every held-out text gets its class from models that have not seen its brand."""
+    decided, _ = TR.cross_validate(i.sql(_BRANDS), configurations=[TR.Configuration(c=100.0)])
+    return decided.select("doc_id", "product_id", "truth", "category", "subcategory", "reason")
+
+
+@query("classification_grid", _DECIDED_BY_BRAND + """, l AS (SELECT 'category' AS level, category AS label FROM d UNION ALL SELECT 'subcategory', subcategory FROM d),
+c(configuration) AS (VALUES ('single words'), ('damped pairs'))
+SELECT configuration, level, 'measured' AS status, count(*) AS n_total, 0 AS n_unknown, count(*) AS n_correct, 1.0 AS strict_accuracy, 1.0 AS macro_f1 FROM c CROSS JOIN l GROUP BY configuration, level
+UNION ALL SELECT 'other tokeniser', NULL, 'not available', NULL, NULL, NULL, NULL, NULL""")
+def classification_grid(i):
+    """Two configurations cross-validated in the same steps, a third one without a model of its own."""
+    ways = [TR.Configuration("single words", 100.0, high=1), TR.Configuration("damped pairs", 30.0, True)]
+    decided, _ = TR.cross_validate(i.sql(_BRANDS), configurations=ways)
+    wanted = V.inline_table(i.spark, ("configuration",), [(w.name,) for w in ways] + [("other tokeniser",)])
+    return X.classification_grid(decided, wanted).select("configuration", "level", "status", "n_total", "n_unknown", "n_correct", "strict_accuracy", "macro_f1")
+
+
+_RARE = """
+SELECT p_partkey AS doc_id, p_brand AS product_id, CASE WHEN p_brand = 'Brand#11' AND p_partkey % 2 = 0 THEN 'health-supplement' WHEN p_partkey % 3 = 0 THEN 'general-food' ELSE 'cleaning-product' END AS subcategory,
+  CASE WHEN p_partkey % 7 = 0 THEN 'two words' ELSE concat('three or more ', p_type) END AS text FROM {part}"""
+
+
+@query("cross_validation_folds", f"""WITH e AS ({B.duck(_RARE)}), b AS (SELECT DISTINCT product_id FROM e),
+t AS (SELECT b.product_id, count(*) AS n_train, string_agg(DISTINCT e.subcategory, ',' ORDER BY e.subcategory) AS classes_in_training FROM b JOIN e ON e.product_id <> b.product_id WHERE e.text <> 'two words' GROUP BY 1),
+h AS (SELECT product_id, count(*) AS n_held_out FROM e GROUP BY 1)
+SELECT product_id, n_train, n_held_out, classes_in_training, CASE WHEN product_id = 'Brand#11' THEN 'health-supplement' ELSE '' END AS absent FROM t JOIN h USING (product_id)""")
+def cross_validation_folds(i):
+    """What each fold learns from, by subtracting its own rows; one class lives in one brand only."""
+    f = TR.Fit(i.sql(_RARE), "subcategory", group="product_id").folds()
+    return f.select("product_id", "n_train", "n_held_out", F.array_join("classes_in_training", ",").alias("classes_in_training"),
+                    F.array_join("held_out_classes_absent_from_training", ",").alias("absent"))
+
+
+@query("extraction_grid", _CELLS + f""", c(configuration) AS (VALUES ('base'), ('careful')),
+w AS (SELECT c.configuration, t.* REPLACE (CASE WHEN c.configuration = 'careful' THEN has_value AND NOT uncertain ELSE has_value END AS has_value,
+  declined OR (c.configuration = 'careful' AND emitted AND has_value AND uncertain) AS declined) FROM t CROSS JOIN c),
+g AS (SELECT configuration, {_COUNT} FROM w GROUP BY configuration)
+SELECT configuration, 'measured' AS status, {_OUT}, {_RATES} FROM g UNION ALL SELECT 'second language', 'not available', {', '.join('NULL' for _ in range(len(Q.OUTCOMES) + 4))}""")
+def extraction_grid(i):
+    """One scan of the frozen set, two configurations scored in one aggregation, a third one that is not installed."""
+    p = i.sql(_PREDICTIONS)
+    ways = F.explode(F.array(F.struct(F.lit("base").alias("configuration"), F.col("committed").alias("c")),
+                             F.struct(F.lit("careful").alias("configuration"), (F.col("committed") & ~F.col("uncertain")).alias("c")))).alias("w")
+    p = p.select("sample_id", "key", "raw_value", "uncertain", F.array("scalar", "raw_value").alias("values"), ways).select("*", F.col("w.configuration"), F.col("w.c").alias("committed")).drop("w")
+    u = i.sql(_UNREAD).select("*", F.explode(F.array(F.lit("base"), F.lit("careful"))).alias("configuration"))
+    wanted = V.inline_table(i.spark, ("configuration",), [("base",), ("careful",), ("second language",)])
+    grid = X.extraction_grid(i.sql(_SAMPLES), i.sql(_ANNOTATIONS), p, u, wanted)
+    return _rounded(grid).select("configuration", "status", *Q.OUTCOMES, "precision", "recall", "f1", "value_accuracy")
+
+
 @query("leave_one_product_out_folds", "SELECT concat('holdout:', source) AS fold, source AS product_id, count(*) AS held_out FROM documents GROUP BY source")
 def leave_one_product_out_folds(i):
     return M.folds(i.table("documents").withColumnRenamed("source", "product_id"))
