@@ -263,23 +263,8 @@ def per_product(predictions: DataFrame) -> DataFrame:
 def latency_summary(measurements: DataFrame, value: str, group: str | None = None) -> DataFrame:
     """Mean, median, p95 and max.  p95 is the element at floor(0.95 * (n - 1)) of the sorted values.
 
-    Equal values are counted before they move, so a group is as large as its distinct values; the
-    order statistic comes from running counts, not from a collected list.
+    The order statistics come from refined value ranges (`orderstats`), so a group of any size is spread over all tasks.
     """
-    from pyspark.sql import Window
-
-    key = group or "_all"
-    rows = measurements if group else measurements.withColumn(key, F.lit("all"))
-    by_value = rows.groupBy(key, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    running = by_value.select(
-        "*", F.sum("n").over(Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        F.sum("n").over(Window.partitionBy(key)).alias("total"))
-    rank95 = F.floor(0.95 * (F.col("total") - 1))
-    covers = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
-    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
-    r4 = lambda c: F.round(c, 4)
-    out = running.groupBy(key).agg(
-        r4(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        r4((F.max(F.when(covers(low), F.col("v"))) + F.max(F.when(covers(high), F.col("v")))) / 2).alias("median"),
-        r4(F.max(F.when(covers(rank95), F.col("v")))).alias("p95"), r4(F.max("v")).alias("max"))
-    return out if group else out.drop(key)
+    from attesta.operators import orderstats as O
+
+    return O.summary(measurements, value, *([group] if group else [])).drop("n")

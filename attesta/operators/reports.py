@@ -90,3 +90,18 @@ def operational_rates(runs: DataFrame, group: str = "engine") -> DataFrame:
     n = F.count(F.lit(1))
     return runs.groupBy(group).agg(n.alias("runs"), F.round(F.count_if(F.col("status") == "failed") / n, 6).alias("failure_rate"),
                                    F.round(F.count_if(F.col("status") == "empty") / n, 6).alias("empty_rate"))
+
+
+def failures_by_code(runs: DataFrame, group: str = "engine") -> DataFrame:
+    """(group, error_code, failures, share of the group's runs): why runs failed; a failure without a code is ``unknown``."""
+    total = runs.groupBy(group).agg(F.count(F.lit(1)).alias("runs"))
+    failed = runs.where("status = 'failed'").groupBy(group, F.coalesce("error_code", F.lit("unknown")).alias("error_code")).agg(F.count(F.lit(1)).alias("failures"))
+    return failed.join(total, failed[group].eqNullSafe(total[group])).select(
+        failed[group], "error_code", "failures", F.round(F.col("failures") / F.col("runs"), 6).alias("share"))
+
+
+def processing_times(runs: DataFrame, group: str = "engine", value: str = "processing_ms") -> DataFrame:
+    """(group, n, mean, median, p95, max) of the recorded times."""
+    from attesta.operators import orderstats as O
+
+    return O.summary(runs, value, group)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attesta import vocabulary as V
 from attesta.functions import geometry as G, text as T
-from attesta.operators import reports as R, rules as RU
+from attesta.operators import orderstats as O, reports as R, rules as RU
 from attesta.plans import bindings as B, evaluation as E
 from attesta.plans.catalog import query
 from attesta.plans.oracle_core import core
@@ -158,3 +158,65 @@ def current_requirement_versions(i):
     live = RU.current_requirements(i.requirements, B.AS_OF).join(i.rules().select("clause", "rule_code"), "clause")
     c = RU.candidate_rules(i.products, i.rules(), i.lineage, B.AS_OF)
     return live.join(c, "rule_code").groupBy("clause").agg(F.max("version").alias("version"), F.count_distinct("product_id").alias("products"))
+
+
+_TIMED = """
+SELECT o_orderkey AS run_id, concat('engine ', CAST(o_orderkey % 3 AS STRING)) AS engine, CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE o_custkey % 5 WHEN 0 THEN 'timeout' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'no_text' END AS error_code, CASE WHEN o_custkey % 11 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(o_totalprice AS DOUBLE) END AS processing_ms
+FROM {orders}"""
+
+
+@query("failures_by_code", f"""WITH r AS ({B.duck(_TIMED)}), n AS (SELECT engine, count(*) AS runs FROM r GROUP BY engine)
+SELECT engine, coalesce(error_code, 'unknown') AS error_code, count(*) AS failures, round(count(*) / max(runs), 6) AS share FROM r JOIN n USING (engine) WHERE status = 'failed' GROUP BY 1, 2""")
+def failures_by_code(i):
+    return R.failures_by_code(i.sql(_TIMED))
+
+
+_RANKED = """SELECT {by} count(*) AS n, round(avg(v), 2) AS mean, round((list_sort(list(v))[1 + CAST(floor((count(*) - 1) / 2) AS BIGINT)] + list_sort(list(v))[1 + CAST(ceil((count(*) - 1) / 2) AS BIGINT)]) / 2, 2) AS median,
+ list_sort(list(v))[1 + CAST(floor(0.95 * (count(*) - 1)) AS BIGINT)] AS p95, max(v) AS max"""
+
+
+def _two_decimals(df):
+    return df.select(*[F.round(c, 2).alias(c) if c in ("mean", "median") else F.col(c) for c in df.columns])
+
+
+@query("processing_times", f"WITH r AS ({B.duck(_TIMED)}) " + _RANKED.format(by="engine,") + " FROM (SELECT engine, processing_ms AS v FROM r WHERE processing_ms IS NOT NULL) GROUP BY engine")
+def processing_times(i):
+    return _two_decimals(R.processing_times(i.sql(_TIMED)))
+
+
+@query("price_percentiles", "WITH r AS (SELECT CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem) " + _RANKED.format(by="") + " FROM r")
+def price_percentiles(i):
+    """One group of all lines: its order statistics come from refined ranges, not from one task's window."""
+    return _two_decimals(O.summary(i.table("lineitem"), "l_extendedprice", limit=500))
+
+
+_VERSIONS = """
+SELECT p_partkey AS requirement_id, concat('clause ', CAST(CAST(floor((p_partkey - 1) / 40) AS BIGINT) AS STRING)) AS clause, CAST(1 + (p_partkey * 7) % 40 AS INT) AS version,
+  CASE WHEN (p_partkey - 1) % 40 = 0 THEN CASE WHEN p_partkey % 240 = 41 THEN p_partkey + 39 WHEN p_partkey % 240 = 81 THEN -5 END WHEN p_partkey % 40 = 21 THEN p_partkey - 2 ELSE p_partkey - 1 END AS supersedes,
+  CASE WHEN p_partkey % 97 = 0 THEN CAST(NULL AS DATE) ELSE DATE '2000-01-01' + CAST(p_size * 20 AS INT) END AS effective_from,
+  CASE WHEN p_partkey % 13 = 0 THEN CAST(NULL AS DATE) ELSE DATE '2000-01-01' + CAST(p_size * 20 + p_partkey % 60 AS INT) END AS effective_to
+FROM {part}"""
+_CHAINS = f"""WITH RECURSIVE v AS ({B.duck(_VERSIONS)}), up AS (SELECT a.requirement_id AS id, b.requirement_id AS parent FROM v a LEFT JOIN v b ON a.supersedes = b.requirement_id),
+w(id, here, depth) AS (SELECT id, id, CAST(0 AS BIGINT) FROM up UNION ALL SELECT w.id, up.parent, w.depth + 1 FROM w JOIN up ON up.id = w.here WHERE up.parent IS NOT NULL AND w.depth < 100),
+e AS (SELECT w.id, w.here AS root, w.depth FROM w JOIN up ON up.id = w.here WHERE up.parent IS NULL),
+chains AS (SELECT up.id AS requirement_id, e.root, e.depth, e.root IS NULL AS cyclic FROM up LEFT JOIN e USING (id)) """
+
+
+@query("version_chains", _CHAINS + "SELECT * FROM chains")
+def version_chains(i):
+    return RU.version_chains(i.sql(_VERSIONS))
+
+
+@query("version_chain_heads", _CHAINS + """, d AS (SELECT root, depth, count(*) AS n, max(requirement_id) AS last FROM chains WHERE NOT cyclic GROUP BY root, depth)
+SELECT root, arg_max(last, depth) AS head, max(depth) + 1 AS length, max(n) > 1 AS forked FROM d GROUP BY root""")
+def version_chain_heads(i):
+    return RU.chain_heads(RU.version_chains(i.sql(_VERSIONS)))
+
+
+@query("overlapping_versions", f"""WITH v AS ({B.duck(_VERSIONS)}), p AS (SELECT a.clause, a.version, a.effective_from, b.version AS open_version, coalesce(b.effective_to, DATE '9999-12-31') AS until
+ FROM v a JOIN v b ON a.clause = b.clause AND (coalesce(b.effective_from, DATE '0001-01-01'), b.version) < (coalesce(a.effective_from, DATE '0001-01-01'), a.version)),
+m AS (SELECT *, row_number() OVER (PARTITION BY clause, version ORDER BY until DESC, open_version DESC) AS r FROM p)
+SELECT clause, version, effective_from, open_version, CASE WHEN until <> DATE '9999-12-31' THEN until END AS open_until FROM m WHERE r = 1 AND (effective_from IS NULL OR effective_from <= until)""")
+def overlapping_versions(i):
+    return RU.overlapping_versions(i.sql(_VERSIONS))
