@@ -15,7 +15,8 @@ bits; a guarantee over a radius that wide would take too many masked keys, so it
 choice of bits, and there are as many keys as leave a pair at the similarity asked for without a shared key with a chance of at most
 MISS, at any number of texts (wider keys come with more of them).  Pairs that share a key and whose leading bits are within
 several deviations of the distance expected at that similarity link candidate groups; inside a group the Jaccard similarity of the
-whole sets of shingles decides, for all pairs.  Equal fingerprints of 512 bits count as equal sets.
+whole sets of shingles decides.  Texts that are already in one component are not compared again (`group_components`).  Equal fingerprints of
+512 bits count as equal sets.
 
 Null texts count as empty (fingerprint zero).  Rows without an id keep their fingerprint but link with nothing.  Repeated ids
 and rows stay.  Only the named columns are read.
@@ -232,6 +233,8 @@ def wide_fingerprint(text: str, shingle: int) -> bytes:
 
 #: Chance that a pair at the similarity asked for shares no key, bits of the shortest keys, texts of a key by chance from which keys widen.
 MISS, KEY_BITS, KEY_TEXTS = 0.01, 16, 256
+#: Keys after which linked texts are contracted, before the next keys are laid out.
+FIRST_KEYS = (2, 10)
 #: Leading bits that keys carry along, deviations from their expected distance, rows of a block of shingle sets.
 LEADING, DEVIATIONS, SET_BLOCK = 256, 4, 256
 
@@ -284,59 +287,155 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     held = written(texts.mapInArrow(prints, f"doc_id {kind}, fp binary, digest long"), "wide-fingerprints")
     first = held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "digest")).alias("first"))
     points = written(first.select("fp", "first.id", "first.digest"), "wide-classes")
-    chosen, keys = wide_keys(points.count(), similarity), ["k", "v", "b1", "b2"]
+    chosen = wide_keys(points.count(), similarity)
     radius = int(LEADING * flips(similarity) + DEVIATIONS * np.sqrt(LEADING * flips(similarity) * (1 - flips(similarity))))
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(chosen.shape[1])
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                fp = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(fp, axis=1, bitorder="little")
-                lead = pa.array([x.tobytes() for x in fp[:, :LEADING // 8]], pa.binary())
-                for k, own in enumerate(chosen):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)), pa.array((bits[:, own] @ weights).astype(np.int32)), part.column(1), lead], names=["k", "v", "id", "fp"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, keys):
-            lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(table.num_rows, -1)
-            a, b = links_in(lanes, bounds, radius)
-            if len(a):
-                ids = table.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    keyed = points.select("fp", "id").mapInArrow(probe, "k int, v int, id long, fp binary")
-    laid = block_pairs(keyed, ["k", "v"], F.col("id"), block).select(*keys, "id", "fp")
-    groups = components(laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(link, "a long, b long").distinct())
-    found = components(_alike_links(texts, points.join(groups, points.id == groups.node).select("id", "digest", "component"), shingle, similarity, min(block, SET_BLOCK)))
+    def probe(some: np.ndarray, first: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights = 1 << np.arange(some.shape[1])
+            for batch in batches:
+                for a in range(0, batch.num_rows, 2048):
+                    part = batch.slice(a, 2048)
+                    fp = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                    bits = np.unpackbits(fp, axis=1, bitorder="little")
+                    lead = pa.array([x.tobytes() for x in fp[:, :LEADING // 8]], pa.binary())
+                    for k, own in enumerate(some, first):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(part.num_rows, k, np.int32)), pa.array((bits[:, own] @ weights).astype(np.int32)), part.column(1), part.column(2), lead],
+                            names=["k", "v", "id", "_node", "fp"])
+
+        return run
+
+    def near(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lanes = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(table.num_rows, -1)
+        return links_in(lanes, bounds, radius)
+
+    cuts = [c for c in (0, *FIRST_KEYS) if c < len(chosen)] + [len(chosen)]
+
+    def keyed(p: int, known: DataFrame | None) -> DataFrame:
+        at = points.select("fp", "id")
+        at = at.withColumn("_node", F.col("id")) if known is None else at.join(known, at.id == known.node, "left").select("fp", "id", F.coalesce("component", "id").alias("_node"))
+        return at.mapInArrow(probe(chosen[cuts[p]:cuts[p + 1]], cuts[p]), "k int, v int, id long, _node long, fp binary")
+
+    groups = group_components(keyed, len(cuts) - 1, ["k", "v"], near, block)
+    found = _alike(texts, points.join(groups, points.id == groups.node).select("id", "digest", "component"), shingle, similarity, min(block, SET_BLOCK))
     classes = written(points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "wide-components")
     return held.join(classes, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _alike_links(texts: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """(a, b): spanning links of the texts of one candidate group (``members``: id, digest, component) that are similar enough."""
-    keys = ["component", "b1", "b2"]
+def group_components(make, passes: int, keys: list[str], compare, block: int) -> DataFrame:
+    """(node, component) over ids: two rows of one group (equal ``keys``) are linked where ``compare`` says so.
+
+    ``make(p, known)`` lays out the rows of pass ``p`` with their id and ``_node``, the component that ``known`` (node, component) has for
+    it so far; ``compare`` gets a table of whole groups with their bounds and returns linked positions.  Each pass sees what the passes before it have
+    contracted, so a group of n copies costs about n rows and not a link for each pair and key.  A group beyond ``block`` rows is
+    dealt into blocks first.  At the end, pairs across blocks can only matter where a group still holds several components: there the
+    rows outside its largest component meet every block of it and each other.  So no link is lost, and none within a component is
+    looked at twice.
+    """
+    known, crowds = None, []
+    for p in range(passes):
+        rows = make(p, known)
+        large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+        large = written(large.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_blocks")), "large-groups")
+        crowds.append(large.limit(1).count() > 0)
+        if crowds[-1]:
+            blocks = F.coalesce("_blocks", F.lit(1))
+            rows = rows.join(large, keys, "left").withColumn("_block", F.pmod(F.xxhash64("id", F.lit(p), *keys), blocks).cast("int")).drop("_blocks")
+        else:
+            rows = rows.withColumn("_block", F.lit(0))
+        known = _contracted(known, _links(rows, [*keys, "_block"], compare))
+    for p in range(passes):
+        if crowds[p]:
+            more = _links(_across(make(p, known), keys, block), [*keys, "_kind", "_i", "_j"], compare)
+            known = _contracted(known, more)
+    return known
+
+
+def _contracted(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    edges = links.distinct()
+    if known is not None:
+        edges = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges)
+    return written(components(edges), "contracted")
+
+
+def _links(rows: DataFrame, by: list[str], compare) -> DataFrame:
+    """(a, b): every linked component of a cell and the smallest one that the cell ties it to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, by):
+            a, b = rooted(*compare(table, bounds), table.num_rows)
+            if len(a):
+                nodes = table.column("_node").to_numpy()
+                apart = nodes[a] != nodes[b]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a[apart]]), pa.array(nodes[b[apart]])], names=["a", "b"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "_node").mapInArrow(run, "a long, b long")
+
+
+def rooted(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same components as the links (a, b), each row tied to the first row of its own."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(n))
+    return at, label[at]
+
+
+def _across(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Cells of the groups that still hold several components: blocks of the largest one against blocks of the others' rows, and these against each other."""
+    sizes = rows.groupBy(*keys, "_node").agg(F.count(F.lit(1)).alias("_n"))
+    groups = sizes.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_node")).alias("_top"))
+    groups = groups.where((F.col("_all") > block) & (F.col("_top._n") < F.col("_all")))
+    count = lambda n: F.ceil(n / block).cast("int")
+    groups = written(groups.select(*keys, F.col("_top._node").alias("_major"), count(F.col("_top._n")).alias("_large"), count(F.col("_all") - F.col("_top._n")).alias("_small")), "divided-groups")
+    joined = rows.join(groups, keys).withColumn("_is", F.col("_node") == F.col("_major"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("_is"), F.col("_large")).otherwise(F.col("_small"))).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("_kind"), i.alias("_i"), j.alias("_j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    me = F.col("_own")
+    cells = F.when(F.col("_is"), F.transform(upto("_small"), lambda j: cell(0, me, j))).otherwise(
+        F.concat(F.transform(upto("_large"), lambda i: cell(0, i, me)), F.transform(upto("_small"), lambda j: cell(1, F.least(me, j), F.greatest(me, j)))))
+    return joined.withColumn("_own", own).withColumn("_cell", F.explode(cells)).select(*rows.columns, "_cell.*")
+
+
+def _alike(texts: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """(node, component) of texts of one candidate group (``members``: id, digest, component) by the exact similarity of their shingle sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["component", "id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["candidates", "id", "members"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, keys):
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = table.slice(s, e - s)
-                label = forest(alike([np.frombuffer(x, np.uint64) for x in own.column("members").to_pylist()], similarity))
+    def same(table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if e - s > 1:
+                label = forest(alike([np.frombuffer(x, np.uint64) for x in table.column("members").slice(s, e - s).to_pylist()], similarity))
                 at = np.flatnonzero(label != np.arange(e - s))
-                if len(at):
-                    ids = own.column("id").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"])
+                left.append(s + at)
+                right.append(s + label[at])
+        return np.concatenate(left), np.concatenate(right)
 
     members = members.withColumnRenamed("digest", "own")
     chosen = texts.join(members, (F.col("doc_id").cast("long") == F.col("id")) & (F.col("digest") == F.col("own"))).dropDuplicates(["id", "own", "component"])
-    found = written(chosen.select("component", "id", "text").mapInArrow(sets, "component long, id long, members binary"), "shingle-sets")
-    laid = block_pairs(found, ["component"], F.col("id"), block).select(*keys, "id", "members")
-    return laid.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(decide, "a long, b long").distinct()
+    found = written(chosen.select("component", "id", "text").mapInArrow(sets, "candidates long, id long, members binary"), "shingle-sets")
+
+    def laid(p: int, known: DataFrame | None) -> DataFrame:
+        if known is None:
+            return found.withColumn("_node", F.col("id"))
+        # a later pass deals anew only groups that are cut into blocks
+        cut = found.groupBy("candidates").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("candidates")
+        again = found.join(cut, "candidates", "left_semi")
+        return again.join(known, again.id == known.node, "left").select("candidates", "id", "members", F.coalesce(F.col("component"), F.col("id")).alias("_node"))
+
+    return group_components(laid, 2, ["candidates"], same, block)
 
 
 def hex_of(fp) -> F.Column:

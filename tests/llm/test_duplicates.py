@@ -274,3 +274,31 @@ def test_block_pairs_meet_once(spark):
                 if x.id < y.id and (r.b1 == r.b2 or x.block != y.block):
                     pairs[x.id, y.id] = pairs.get((x.id, y.id), 0) + 1
     assert pairs == {(a, b): 1 for a in range(50) for b in range(a + 1, 50) if a % 2 == b % 2}
+
+
+@pytest.mark.parametrize("block", [4, 50])
+def test_group_components_lose_no_link(spark, block):
+    """Points on a line, linked when close: the components are those of all pairs of a group, whatever the blocks."""
+    rng = random.Random(block)
+    rows = [(g, n, rng.choice([rng.randint(0, 400), 100, 101])) for g in range(6) for n in range(g * 1000, g * 1000 + (300 if g == 0 else 20))]
+    df = spark.createDataFrame(rows, "g int, id long, x int").repartition(3)
+
+    def close(table, bounds):
+        left, right = [], []
+        x = table.column("x").to_numpy()
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            i, j = np.nonzero(np.abs(x[s:e, None] - x[None, s:e]) <= 1)
+            left.append(s + i[i != j])
+            right.append(s + j[i != j])
+        return np.concatenate(left), np.concatenate(right)
+
+    def make(p, known):
+        if known is None:
+            return df.withColumn("_node", df.id)
+        return df.join(known, df.id == known.node, "left").selectExpr("g", "id", "x", "coalesce(component, id) AS _node")
+
+    for passes in (1, 2):
+        got = {r.node: r.component for r in simhash.group_components(make, passes, ["g"], close, block).collect()}
+        pairs = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 1]
+        want = linked_components([r[1] for r in rows], pairs)
+        assert all(got.get(n, n) == c for n, c in want.items())
