@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -24,10 +25,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Intermediate tables written since `tidy` last removed them.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs once the driver's objects for them are collected: ask for that between steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tidy(spark: SparkSession) -> None:
+    """Remove the intermediate tables and shuffle files of operators whose results have been written: for the start of a pipeline's stage."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+    free_shuffles(spark)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate table, on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +55,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = path or new_path(spark, name)
+    if not path:
+        path = new_path(spark, name)
+        _MADE.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
