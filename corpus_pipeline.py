@@ -1,4 +1,8 @@
-"""Training-data pipeline: each stage applies one operator to all documents that the stage before has kept."""
+"""Training-data pipeline: each stage applies one operator to all documents that the stage before has kept.
+
+A stage's input is a written table, so what earlier stages have left in the shared folder is removed when the next one starts: write a
+stage's result before the next stage is called.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attesta.llm import bpe, mixing, repeats, simhash, toxicity
-from attesta.llm.common import new_path, written
+from attesta.llm.common import new_path, tidy, written
 from attesta.llm.queries import digests
 
 #: SQL can't express the classifier, the hashes of shingles or the byte-pair merges.
@@ -15,6 +19,7 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: rejected documents go, all others stay.  Learns from the labels of rows that aren't held out."""
+    tidy(spark)
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     bad = scored.where("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_toxic")).distinct()
     return docs.join(written(bad, "toxic"), F.col("doc_id") == F.col("_toxic"), "left_anti").select(docs.columns)
@@ -22,6 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup over five-word shingles, similarity 0.8: of each group the document with the smallest id stays."""
+    tidy(spark)
     found = simhash.similar_texts(docs, shingle=5, similarity=0.8)
     kept = found.where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(written(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
@@ -32,6 +38,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Where a span ends inside a character, what is left of that character goes too.  ``n_chars`` follows the text.
     """
+    tidy(spark)
     others = [c for c in docs.columns if c != "text"]
     cut = repeats.remove_repeats(docs, carry=[*others, "text"]).where((F.octet_length("kept") > 0) | (F.size("spans") == 0))
     changed = F.size("spans") > 0
@@ -43,6 +50,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document stays, in the order of the schedule's slots; what a dry source leaves free goes to the others."""
+    tidy(spark)
     slots = mixing.schedule_all(docs).select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("slot").alias("_slot"))
     placed = docs.join(written(slots, "slots"), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     return placed.orderBy("_slot", "_id").select(docs.columns)
@@ -50,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of every text, decoded again."""
+    tidy(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return digests(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
