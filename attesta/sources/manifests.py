@@ -78,13 +78,3 @@ def artifact_tables(artifacts: DataFrame) -> DataFrame:
 def seed_missing(current: DataFrame, seed: DataFrame, key: str) -> DataFrame:
     """Seed rows to append; nothing existing is renamed or removed."""
     return seed.join(current.select(key), key, "left_anti")
-
-
-def append_results(findings: DataFrame, path: str, evaluated_on) -> None:
-    """Append-only: a re-evaluation adds rows, never rewrites earlier ones."""
-    findings.withColumn("evaluated_on", F.lit(evaluated_on)).write.mode("append").partitionBy("evaluated_on").parquet(path)
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    """A small report as ordered JSON lines; key order follows the columns, row order the first columns."""
-    report.orderBy(*report.columns).select(F.to_json(F.struct(*report.columns)).alias("value")).coalesce(1).write.mode("errorifexists").text(path)

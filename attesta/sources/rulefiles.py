@@ -23,11 +23,6 @@ def read_rule_files(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
-def read_framework_list(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
-    """Rows of one named top-level list of a framework file."""
-    return spark.read.schema(f"{name} array<struct<{schema}>>").json(path, multiLine=True).select(F.inline(name))
-
-
 def parse_rules(files: DataFrame) -> DataFrame:
     """(path, keys, rule): comment keys dropped, null rule where the top level is not an object."""
     valid = F.try_parse_json("content").isNotNull() & F.ltrim("content").startswith("{")
@@ -87,11 +82,3 @@ def replace_links(current: DataFrame, wanted: DataFrame, owner: str = "clause")
     """Links after a sync: owners that were supplied get exactly the supplied links (full key)."""
     untouched = current.join(wanted.select(owner).distinct(), owner, "left_anti")
     return untouched.unionByName(wanted)
-
-
-def load_all_or_nothing(rows: DataFrame, errors: DataFrame, path: str, dry_run: bool = False) -> list[str]:
-    """Write a new version only when there is no error; returns the errors (bounded by the files)."""
-    found = [f"{e.path}: {e.error}" for e in errors.orderBy("path", "error").toLocalIterator()]
-    if not found and not dry_run:
-        rows.write.mode("errorifexists").parquet(path)
-    return found

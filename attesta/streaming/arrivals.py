@@ -25,16 +25,23 @@ def evaluate_arrivals(runs: DataFrame, products: DataFrame, readings: DataFrame,
 
 
 def latest_facts_arrivals(declarations: DataFrame, conditions: DataFrame, path: str, checkpoint: str):
-    """Keep the latest fact per (product, condition): each batch adds its own latest rows, readers fold."""
+    """The latest fact per (product, condition) as a stream, in Spark's state store: one row of state a key, however many rows arrive.
+
+    The state is the aggregate of `applicability.latest_facts` itself, so rows that come late, again or out of order leave the same answer as
+    in a batch.  Each batch writes the facts that changed under its ``batch_id``; a replayed batch overwrites its own folder.
+    """
+    known = conditions.where("is_active").select("condition_code")
+    newest = declarations.join(known, "condition_code").groupBy("product_id", "condition_code").agg(
+        F.max(F.struct("updated_at", "declaration_id", "answer")).alias("last"))
+    facts = newest.select("product_id", "condition_code", "last.answer", "last.updated_at", "last.declaration_id")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = A.latest_facts(batch, conditions, with_id=True)
-        newest.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return declarations.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return facts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def current_facts(stored: DataFrame) -> DataFrame:
-    """The latest of the stored rows, by the order of ``latest_facts``: streamed and batch answers are the same."""
-    last = F.max_by("answer", F.struct("updated_at", "declaration_id"))
-    return stored.groupBy("product_id", "condition_code").agg(last.alias("answer"))
+    """The state as of the last batch: of each key the row of its newest batch."""
+    last = F.max_by(F.struct("answer", "updated_at", "declaration_id"), "batch_id").alias("last")
+    return stored.groupBy("product_id", "condition_code").agg(last).select("product_id", "condition_code", "last.answer", "last.updated_at", "last.declaration_id")

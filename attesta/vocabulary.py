@@ -355,6 +355,15 @@ DETECTION_METHODS = (
     "administrative", "manual_review", "not_applicable",
 )
 IMAGE_EVALUABLE_METHODS = ("ocr", "cv", "ocr_cv")
+INSTRUMENT_TYPES = ("principal", "amendment", "consolidated_publication")
+VERIFICATION_STATUSES = ("verified", "unverified", "requires_review")
+AUTOMATION_CLASSES = (
+    "image_automatable", "partially_automatable", "digital_ecommerce", "physical_measurement", "administrative", "manual_review",
+)
+IMPLEMENTATION_STATUSES = (
+    "implemented", "implementable_now", "implementable_with_new_check", "blocked_by_missing_applicability_data",
+    "blocked_by_missing_extraction_field", "legal_review_required", "not_applicable_to_project_scope",
+)
 LINK_MODES = ("requires", "exempts", "scope_gate", "withholds_exemption")
 
 # code, check_type, comma-separated keys, target category, clause, in force from, conditional, active, severity, title
