@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,9 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished jobs once the driver's objects for them are collected: ask for that between steps."""
+    """Spark deletes the shuffle files of finished jobs once the driver's objects for them are collected: ask for that between steps.
+
+    The first collection only releases what finished jobs still hold, the next one frees them.
+    """
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(3):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def tidy(spark: SparkSession) -> None:
