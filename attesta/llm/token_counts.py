@@ -20,8 +20,8 @@ from attesta.llm.pretokens import Slab, slabs
 
 #: Frequent words in the broadcast table, and bytes of a word in it: at most 2 MB.
 TABLE_WORDS, WORD_BYTES = 32_768, 60
-#: Rows whose pre-tokens are counted to find the frequent ones.
-SAMPLE_ROWS = 2_000
+#: Words that a task counts at once to find the frequent ones: beyond that the rarest half of them is forgotten.
+COUNTED_WORDS = 8 * TABLE_WORDS
 CACHE_WORDS = 500_000
 
 
@@ -58,7 +58,10 @@ def word_lengths(words: list[bytes], tokenizer) -> list[int]:
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", table_words: int = TABLE_WORDS) -> list[bytes]:
-    """The most frequent pre-tokens of a bounded number of rows; each task sends its own most frequent ones."""
+    """The most frequent pre-tokens of all rows: each task keeps a bounded summary of its own and sends the most frequent of them.
+
+    A word that a summary forgets may miss the table, which costs time and changes no count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -69,10 +72,12 @@ def frequent_words(df: DataFrame, text_col: str = "text", table_words: int = TAB
                     for w, c in zip(part.words, n, strict=True):
                         if len(w) <= WORD_BYTES:
                             total[w] += c
+            if len(total) > COUNTED_WORDS:
+                total = Counter(dict(total.most_common(COUNTED_WORDS // 2)))
         best = total.most_common(table_words)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([c for _, c in best], pa.int64())], names=["word", "n"])
 
-    counted = df.select(text_col).where(F.col(text_col).isNotNull()).limit(SAMPLE_ROWS).mapInArrow(run, "word binary, n long")
+    counted = df.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, "word binary, n long")
     best = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_words)
     return [bytes(r.word) for r in best.collect()]
 
