@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_toxicity")
 def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("digest")
 
 
 @query("op2_token_file")

@@ -276,7 +276,12 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts linked by a similarity of their shingle sets of ``similarity`` or more."""
+    """(doc_id, component_id, digest, first) of every row: groups of texts linked by a similarity of their shingle sets of ``similarity`` or more.
+
+    Texts are told apart by id and ``digest``, xxhash64 of the text (null as empty), so rows without an id and rows that share one are
+    compared like any other.  ``component_id`` is the group's smallest id, null where no member has one; ``first`` marks its first text by
+    (id, digest), rows without an id last.  Rows equal in both are one text.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
 
@@ -285,8 +290,11 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], names=["doc_id", "fp", "digest"])
 
     held = written(texts.mapInArrow(prints, f"doc_id {kind}, fp binary, digest long"), "wide-fingerprints")
-    first = held.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "digest")).alias("first"))
-    points = written(first.select("fp", "first.id", "first.digest"), "wide-classes")
+    # one text stands for all with its fingerprint; their numbers are in the order of (id, digest), so the smallest number is the first text
+    own = F.col("doc_id").cast("long")
+    first = held.groupBy("fp").agg(F.min(F.struct(own.isNull().alias("none"), own.alias("own"), "digest")).alias("first")).select("fp", "first.*")
+    numbered = first.repartitionByRange("none", "own", "digest", "fp").sortWithinPartitions("none", "own", "digest", "fp")
+    points = written(numbered.withColumn("id", F.monotonically_increasing_id()), "wide-classes")
     chosen = wide_keys(points.count(), similarity)
     radius = int(LEADING * flips(similarity) + DEVIATIONS * np.sqrt(LEADING * flips(similarity) * (1 - flips(similarity))))
 
@@ -318,9 +326,12 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         return at.mapInArrow(probe(chosen[cuts[p]:cuts[p + 1]], cuts[p]), "k int, v int, id long, _node long, fp binary")
 
     groups = group_components(keyed, len(cuts) - 1, ["k", "v"], near, block)
-    found = _alike(texts, points.join(groups, points.id == groups.node).select("id", "digest", "component"), shingle, similarity, min(block, SET_BLOCK))
-    classes = written(points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id")), "wide-components")
-    return held.join(classes, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = _alike(texts, points.join(groups, points.id == groups.node).select("id", "own", "digest", "component"), shingle, similarity, min(block, SET_BLOCK))
+    placed = points.join(found, points.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("_of"))
+    heads = points.select(F.col("id").alias("_head"), F.col("own").alias("_own"), F.col("digest").alias("_digest"))
+    classes = written(placed.join(heads, F.col("_of") == F.col("_head")).select("fp", "_own", "_digest"), "wide-components")
+    return held.join(classes, "fp").select(
+        "doc_id", F.col("_own").cast(kind).alias("component_id"), "digest", (own.eqNullSafe(F.col("_own")) & (F.col("digest") == F.col("_digest"))).alias("first"))
 
 
 def group_components(make, passes: int, keys: list[str], compare, block: int) -> DataFrame:
@@ -407,7 +418,7 @@ def _across(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
 
 
 def _alike(texts: DataFrame, members: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """(node, component) of texts of one candidate group (``members``: id, digest, component) by the exact similarity of their shingle sets."""
+    """(node, component) of texts of one candidate group (``members``: id, own, digest, component) by the exact similarity of their shingle sets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -423,8 +434,8 @@ def _alike(texts: DataFrame, members: DataFrame, shingle: int, similarity: float
                 right.append(s + label[at])
         return np.concatenate(left), np.concatenate(right)
 
-    members = members.withColumnRenamed("digest", "own")
-    chosen = texts.join(members, (F.col("doc_id").cast("long") == F.col("id")) & (F.col("digest") == F.col("own"))).dropDuplicates(["id", "own", "component"])
+    members = members.withColumnRenamed("digest", "_digest")
+    chosen = texts.join(members, F.col("doc_id").cast("long").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(["id"])
     found = written(chosen.select("component", "id", "text").mapInArrow(sets, "candidates long, id long, members binary"), "shingle-sets")
 
     def laid(p: int, known: DataFrame | None) -> DataFrame:

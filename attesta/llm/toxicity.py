@@ -15,10 +15,11 @@ like any text; rows without an id are scored (and are no training rows); repeate
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attesta.llm.common import slices, written
 from attesta.llm.pretokens import Slab, slabs
 
-#: Labelled rows of each class for the terms, rows for the classifier, terms at most, lexicon voters.
-LABELLED, FITTED, TERMS, LEXICONS = 10_000, 20_000, 512, 24
+#: Labelled rows of each class for the terms, rows for the classifier, lexicon voters.
+LABELLED, FITTED, LEXICONS = 10_000, 20_000, 24
 #: Fixed lists.
 INSULTS = ("idiot moron stupid dumb fool loser scum trash garbage pathetic worthless disgusting clown imbecile cretin "
            "jerk bastard bitch asshole dickhead shithead idioten dummkopf arschloch abschaum schwachkopf versager "
@@ -87,8 +88,8 @@ def one_of_like_texts(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(first.select("_id")), "_id", "left_semi").select("text", "_y")  # as bounded as the sample
 
 
-def mine_terms(sample: DataFrame, terms: int) -> list[str]:
-    """Words of the sample (text, _y) that go with label 1, strongest first."""
+def mine_terms(sample: DataFrame) -> list[str]:
+    """All words of the sample (text, _y) that go with label 1, strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):  # counts of a slice go on, so a task holds one slice's words
@@ -114,11 +115,11 @@ def mine_terms(sample: DataFrame, terms: int) -> list[str]:
     seen = p + n
     ratio = 2 * (part(p, seen * share) + part(n, seen * (1 - share)) + part(size.p - p, (total - seen) * share) + part(size.n - n, (total - seen) * (1 - share)))
     strong = tested.where(p * (1 - share) > 4 * n * share).select("w", ratio.alias("g")).where(F.col("g") > limit)
-    return [r.w for r in strong.orderBy(F.desc("g"), "w").limit(terms).collect()]
+    return [r.w for r in strong.orderBy(F.desc("g"), "w").collect()]  # every term that passes: as bounded as the sample
 
 
 def features(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hits, marks): numbers of the terms and insults that occur, and of the patterns that do."""
+    """(doc_id, hits, marks, digest): numbers of the terms and insults that occur, and of the patterns that do; xxhash64 of the text."""
     kind = docs.schema[id_col].dataType.simpleString()
     place = {w: i for i, w in enumerate(dict.fromkeys([*terms, *INSULTS]))}
 
@@ -145,9 +146,10 @@ def features(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> D
                     hits[part[0]] = {place[w] for w in own if w in place}
                     spoken[part[0]] = bool(own & second)
             marks = [[i for i, x in enumerate((shouts(t), "!!!" in t or "?!?" in t, _MASKED.search(t) is not None, s and bool(h))) if x] for t, s, h in zip(texts, spoken, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(h) for h in hits], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "hits", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(h) for h in hits], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "hits", "marks", "digest"])
 
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(run, f"doc_id {kind}, hits array<int>, marks array<int>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(id_col, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {kind}, hits array<int>, marks array<int>, digest long")
 
 
 def shouts(text: str) -> bool:
@@ -225,42 +227,75 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(fired @ self.weight + self.prior, -30, 30)))
 
 
-def design(hits: list[list[int]], marks: list[list[int]], size: int) -> np.ndarray:
-    """Features: each term or insult, each pattern, how many terms occur (logarithm), that any does, and a constant."""
-    x = np.zeros((len(hits), size + len(PATTERNS) + 3), np.float32)
-    for i, (h, m) in enumerate(zip(hits, marks, strict=True)):
-        x[i, h] = 1
-        x[i, [size + k for k in m]] = 1
-        x[i, -3] = math.log1p(len(h))
-        x[i, -2] = bool(h)
-    x[:, -1] = 1
-    return x
+class Design:
+    """Features: each term or insult, each pattern, how many terms occur (logarithm), that any does, and a constant.
+
+    The ones are kept by place, so neither fit nor scores grow with rows times terms.
+    """
+
+    def __init__(self, hits: list[list[int]], marks: list[list[int]], size: int):
+        found = np.fromiter(map(len, hits), np.int64, len(hits))
+        places = [[*h, *(size + k for k in m)] for h, m in zip(hits, marks, strict=True)]
+        self.at = np.fromiter(itertools.chain.from_iterable(places), np.int64)
+        self.row = np.arange(len(hits)).repeat(np.fromiter(map(len, places), np.int64, len(hits)))
+        self.dense = np.stack((np.log1p(found), found > 0, np.ones(len(hits))), 1)
+        self.ones = size + len(PATTERNS)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], len(self.dense)) + self.dense @ w[-3:]
+
+    def back(self, u: np.ndarray, power: int = 1) -> np.ndarray:
+        """Sums of ``u`` over the rows of each feature, weighted by the feature's value to this power."""
+        return np.concatenate((np.bincount(self.at, u[self.row], self.ones), u @ self.dense ** power))
+
+    def chances(self, w: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self @ w, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the penalty draws the weights to ``start``."""
+def fit(x: Design, y: np.ndarray, start: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Logistic regression on soft labels by Newton steps, each by conjugate gradients; the penalty draws the weights to ``start``."""
     w = start.copy()
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(len(start), penalty)
     ridge[-1] = 1e-6
-    x = x.astype(np.float64)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * (w - start)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), grad)
+        p = x.chances(w)
+        spread = p * (1 - p) + 1e-9
+        step = solve(lambda v: x.back(spread * (x @ v)) + ridge * v, x.back(spread, 2) + ridge, x.back(p - y) + ridge * (w - start))
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def solve(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, right: np.ndarray, precision: float = 1e-10) -> np.ndarray:
+    """Conjugate gradients for a symmetric positive matrix, given by its product with a vector and by its diagonal."""
+    out, rest = np.zeros_like(right), right.copy()
+    way = eased = rest / diagonal
+    size = rest @ eased
+    limit = precision ** 2 * size
+    for _ in range(4 * len(right)):
+        if size <= limit or not size:
+            break
+        turned = times(way)
+        far = size / (way @ turned)
+        out, rest = out + far * way, rest - far * turned
+        eased = rest / diagonal
+        size, before = rest @ eased, size
+        way = eased + size / before * way
+    return out
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          labelled: int = LABELLED, fitted: int = FITTED, terms: int = TERMS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``; learns from labels of rows that aren't held out."""
+          labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
+    """(doc_id, held_out, score, predicted, digest) of every row of ``docs``; learns from labels of rows that aren't held out.
+
+    ``digest``, xxhash64 of the text (null as empty), tells rows apart that share an id or have none.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     known = labels.select(id_col, label_col)
     chosen = sample_labels(known, id_col, label_col, labelled)
     joined = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most 2 x labelled rows
-    found = mine_terms(one_of_like_texts(joined), terms)
+    found = mine_terms(one_of_like_texts(joined))
     place = {w: i for i, w in enumerate(dict.fromkeys([*found, *INSULTS]))}
     insults = frozenset(place[w] for w in INSULTS)
     rows = written(features(docs, found, id_col, text_col), "toxicity-features")
@@ -275,13 +310,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # with next to no rows to learn from, any term at all speaks for the label
     weights = np.concatenate((np.zeros(size + len(PATTERNS) + 1), [-2 * model.prior, model.prior]))
     if some:
-        weights = fit(design(hits, marks, size), model.posterior(voters(hits, marks, len(found), insults)), weights)
+        weights = fit(Design(hits, marks, size), model.posterior(voters(hits, marks, len(found), insults)), weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = np.concatenate([1 / (1 + np.exp(-np.clip(design(h, m, size) @ weights, -30, 30))) for h, m in
-                                    ((batch.column(1)[a:a + 2048].to_pylist(), batch.column(2)[a:a + 2048].to_pylist()) for a in range(0, max(batch.num_rows, 1), 2048))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64())], names=["doc_id", "score"])
+            value = Design(batch.column(1).to_pylist(), batch.column(2).to_pylist(), size).chances(weights)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), batch.column(3)], names=["doc_id", "score", "digest"])
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, digest long")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "digest")

@@ -167,3 +167,46 @@ def test_pipeline_stages(spark, awkward, tmp_path):
     assert {r.doc_id for r in docs.collect()} >= {1, 6, 10} and 2 not in {r.doc_id for r in docs.collect()} and 12 not in {r.doc_id for r in docs.collect()}
     rows = corpus_pipeline.run(spark, folder)
     assert 0 < rows.count() < spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_pipeline_judges_rows_by_their_text(spark, tmp_path):
+    """Rows without an id, ids that rows share, clashing names, an empty table."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    bad, long = "you IDIOT!!! you stupid worthless moron, shut up you idiot!!! " * 3, " ".join(f"w{i}" for i in range(80))
+    rows = [(None, bad), (70, bad), (70, "A clean text that shares its id."), (None, "A clean text without an id."), (None, long), (81, long), (80, long + " more"),
+            (90, "once again"), (90, "once again"), (None, "twice and again"), (None, "twice and again"), (91, None), (91, "")]
+    names = "_toxic _kept _source _id _slot _digest _rows digest first rest component_id"
+    docs = spark.createDataFrame([(*r, "s", 1, *names.split()) for r in rows], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names.split()))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        out[name] = stage(spark, docs if not out else out["toxicity"], folder)
+        assert out[name].columns == docs.columns
+        out[name].write.parquet(str(tmp_path / name))
+        out[name] = spark.read.parquet(str(tmp_path / name))
+    as_rows = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    assert as_rows(out["toxicity"]) == sorted([r for r in rows if r[1] != bad], key=str)
+    kept = as_rows(out["simhash_near_dedup"])
+    assert [r for r in kept if r[0] != 91] == sorted([(70, rows[2][1]), (None, rows[3][1]), (80, long + " more"), (90, "once again"), (None, "twice and again")], key=str)
+    assert len([r for r in kept if r[0] == 91]) == 1
+    mixed = corpus_pipeline.mix_sources(spark, out["simhash_near_dedup"], folder)
+    assert mixed.columns == docs.columns and as_rows(mixed) == kept
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("doc_id < 0"), folder).count() == 0
+
+
+def test_conjugate_gradients_fit_as_newton_does():
+    rng = np.random.default_rng(2)
+    hits = [sorted(set(rng.integers(0, 40, rng.integers(0, 6)).tolist())) for _ in range(500)]
+    marks = [[0] if rng.random() < 0.2 else [] for _ in range(500)]
+    x, y = toxicity.Design(hits, marks, 40), rng.random(500)
+    start = np.zeros(40 + len(toxicity.PATTERNS) + 3)
+    dense = np.stack([x @ e for e in np.eye(len(start))], 1)
+    assert dense[3, :40].nonzero()[0].tolist() == hits[3]
+    got = toxicity.fit(x, y, start)
+    ridge = np.ones(len(start))
+    ridge[-1] = 1e-6
+    p = 1 / (1 + np.exp(-dense @ got))
+    assert np.abs(dense.T @ (p - y) + ridge * got).max() < 1e-6
+    assert np.allclose(x.chances(got), p)
