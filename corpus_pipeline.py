@@ -17,20 +17,43 @@ from attesta.llm.queries import digests
 ORACLE_SQL = None
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` hasn't got."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def matches(docs: DataFrame, chosen: DataFrame, how: str, name: str) -> DataFrame:
+    """``docs`` joined with a written table (doc_id, digest, ...) of texts: by id, missing ids included, and xxhash64 of the text (null as empty)."""
+    id_, digest = unused(docs, "_id"), unused(docs, "_digest")
+    chosen = written(chosen.withColumnsRenamed({"doc_id": id_, "digest": digest}), name)
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[id_]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen[digest]), how)
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxicity: rejected documents go, all others stay.  Learns from the labels of rows that aren't held out."""
+    """Toxicity: rejected rows go, all others stay.  Learns from the labels of rows that aren't held out.
+
+    A row is judged by its own text: a rejected row goes with or without an id, and a clean one stays though it shares its id with a rejected one.
+    """
     tidy(spark)
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scored.where("predicted = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(written(bad, "toxic"), F.col("doc_id") == F.col("_toxic"), "left_anti").select(docs.columns)
+    return matches(docs, scored.where("predicted = 1").select("doc_id", "digest").distinct(), "left_anti", "toxic")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup over five-word shingles, similarity 0.8: of each group the document with the smallest id stays."""
+    """SimHash near-dedup over five-word shingles, similarity 0.8: of each group the text with the smallest id stays, once.
+
+    Rows without an id come after all others; of rows equal in id and text one stays.
+    """
     tidy(spark)
     found = simhash.similar_texts(docs, shingle=5, similarity=0.8)
-    kept = found.where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(written(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    texts = written(found.groupBy("doc_id", "digest").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).where("NOT first OR n > 1"), "not-first-or-repeated")
+    again = texts.where("first").select("doc_id", "digest")
+    digest = unused(docs, "_digest")
+    repeated = matches(docs, again, "inner", "repeated").select(*docs.columns, digest).dropDuplicates(["doc_id", digest]).drop(digest)
+    return matches(docs, texts.select("doc_id", "digest"), "left_anti", "left-out").union(repeated)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +74,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document stays, in the order of the schedule's slots; what a dry source leaves free goes to the others."""
     tidy(spark)
-    slots = mixing.schedule_all(docs).select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("slot").alias("_slot"))
-    placed = docs.join(written(slots, "slots"), F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return placed.orderBy("_slot", "_id").select(docs.columns)
+    source, id_, slot = (unused(docs, c) for c in ("_source", "_id", "_slot"))
+    slots = mixing.schedule_all(docs).select(F.col("source").alias(source), F.col("id").alias(id_), F.col("slot").alias(slot))
+    placed = docs.join(written(slots, "slots"), F.col("source").eqNullSafe(F.col(source)) & F.col("doc_id").eqNullSafe(F.col(id_)))
+    return placed.orderBy(slot, id_).select(docs.columns)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
