@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from attesta.llm.common import block_pairs, slices, written
+from attesta.llm.common import block_pairs, forget, slices, written
 from attesta.llm.components import components
 from attesta.llm.groups import forest, whole_groups
 
@@ -286,6 +286,7 @@ def similar_texts(df: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], names=["doc_id", "fp", "digest"])
 

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attesta.llm.common import slices, written
 from attesta.llm.pretokens import Slab, slabs
@@ -118,15 +118,15 @@ def mine_terms(sample: DataFrame) -> list[str]:
     return [r.w for r in strong.orderBy(F.desc("g"), "w").collect()]  # every term that passes: as bounded as the sample
 
 
-def features(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hits, marks, digest): numbers of the terms and insults that occur, and of the patterns that do; xxhash64 of the text."""
+def features(docs: DataFrame, terms: list[str], id_col: str, text_col: str, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, hits, marks): numbers of the terms and insults that occur, and of the patterns that do; with ``carry`` also the text and these columns."""
     kind = docs.schema[id_col].dataType.simpleString()
     place = {w: i for i, w in enumerate(dict.fromkeys([*terms, *INSULTS]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second = set(SECOND_PERSON)
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             hits: list[set[int]] = [set() for _ in texts]
             spoken = [False] * len(texts)
             for part in slabs(texts, "word"):
@@ -146,10 +146,14 @@ def features(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> D
                     hits[part[0]] = {place[w] for w in own if w in place}
                     spoken[part[0]] = bool(own & second)
             marks = [[i for i, x in enumerate((shouts(t), "!!!" in t or "?!?" in t, _MASKED.search(t) is not None, s and bool(h))) if x] for t, s, h in zip(texts, spoken, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(h) for h in hits], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), batch.column(2)], names=["doc_id", "hits", "marks", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(h) for h in hits], pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), *batch.columns[1:][:2 * bool(carry)]], names=names)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, text, F.xxhash64(text)).mapInArrow(run, f"doc_id {kind}, hits array<int>, marks array<int>, digest long")
+    schema = T.StructType.fromDDL(f"doc_id {kind}, hits array<int>, marks array<int>")
+    given = docs.select(id_col, F.col(text_col).alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []))
+    if carry:
+        schema = schema.add("text", "string").add("rest", given.schema["rest"].dataType)
+    names = schema.names
+    return given.mapInArrow(run, schema)
 
 
 def shouts(text: str) -> bool:
@@ -286,19 +290,19 @@ def solve(times: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, right
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          labelled: int = LABELLED, fitted: int = FITTED) -> DataFrame:
-    """(doc_id, held_out, score, predicted, digest) of every row of ``docs``; learns from labels of rows that aren't held out.
+          labelled: int = LABELLED, fitted: int = FITTED, carry: list[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``; learns from labels of rows that aren't held out.
 
-    ``digest``, xxhash64 of the text (null as empty), tells rows apart that share an id or have none.
+    ``carry`` names columns to hand on beside the scores, as fields of a column ``rest``; the text comes with them as ``text``.  So whole rows can be
+    judged without a join by id.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     known = labels.select(id_col, label_col)
     chosen = sample_labels(known, id_col, label_col, labelled)
     joined = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most 2 x labelled rows
     found = mine_terms(one_of_like_texts(joined))
     place = {w: i for i, w in enumerate(dict.fromkeys([*found, *INSULTS]))}
     insults = frozenset(place[w] for w in INSULTS)
-    rows = written(features(docs, found, id_col, text_col), "toxicity-features")
+    rows = written(features(docs, found, id_col, text_col, carry), "toxicity-features")
     share = known.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).agg(F.avg(F.col(label_col).cast("double")).alias("p")).first().p
     model = LabelModel(*moments(rows, len(found), insults), min(max(share or 0.05, 0.001), 0.5))
     # the classifier's rows: half where some term occurs, half at large, by a hash of the id
@@ -315,7 +319,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = Design(batch.column(1).to_pylist(), batch.column(2).to_pylist(), size).chances(weights)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), batch.column(3)], names=["doc_id", "score", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value, pa.float64()), *batch.columns[3:]], names=schema.names)
 
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double, digest long")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "digest")
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), *rows.schema.fields[3:]])
+    scored = rows.mapInArrow(run, schema)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *scored.columns[2:])
