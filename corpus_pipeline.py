@@ -38,8 +38,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A row is judged by its own text: a rejected row goes with or without an id, and a clean one stays though it shares its id with a rejected one.
     """
     tidy(spark)
-    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return matches(docs, scored.where("predicted = 1").select("doc_id", "digest").distinct(), "left_anti", "toxic")
+    others = [c for c in docs.columns if c != "text"]
+    scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=others)
+    return scored.where("predicted = 0").select(*(F.col("text" if c == "text" else f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
