@@ -183,7 +183,7 @@ def excerpt(text: Column, limit: int = V.EXCERPT_LENGTH) -> Column:
 
 def model_term(evidence: Column) -> Column:
     """The quoted term of a recorded ``term: 'x' weighed for y`` string, else null."""
-    term = F.regexp_extract(evidence, r"(?s)^term: '(.*?)' weighed for ", 1)
+    term = F.regexp_extract(evidence, r"(?s)^term: '(?! weighed for )(.*?)' weighed for ", 1)
     return F.when(F.length(term) > 0, term)
 
 

@@ -82,8 +82,8 @@ def decide(docs: DataFrame, scored: DataFrame, classes: Sequence[str], key: str
     return decided(rows, classes, key)
 
 
-def decided(rows: DataFrame, classes: Sequence[str], *keep) -> DataFrame:
-    """The decision of each row with its number of ``tokens``, ``known_terms`` and ``scores`` (null where nothing is known)."""
+def weighed(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """``rows`` (``tokens``, ``known_terms``, ``scores``) with the heaviest category ``best`` (m, c), its heaviest class ``sub`` (m, s) and ``reason``."""
     category = {s: c for s, c, _ in V.TAXONOMY}
     rows = rows.withColumn("p", softmax(F.col("scores")))
     prob = lambda i: F.get("p", F.lit(i))
@@ -101,7 +101,12 @@ def decided(rows: DataFrame, classes: Sequence[str], *keep) -> DataFrame:
         .when(F.col("sub.m") < MIN_SUBCATEGORY, F.lit("subcategory below threshold"))
         .otherwise(F.lit("committed"))
     )
-    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason)
+
+
+def decided(rows: DataFrame, classes: Sequence[str], *keep) -> DataFrame:
+    """The decision of each row with its number of ``tokens``, ``known_terms`` and ``scores`` (null where nothing is known)."""
+    rows = weighed(rows, classes)
     said = F.col("reason").isin("committed", "subcategory below threshold")
     full = F.col("reason") == "committed"
     four = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 4)

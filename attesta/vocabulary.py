@@ -277,6 +277,17 @@ SIGNALS = (
      r"\bkeep\s+(?:out\s+of\s+)?reach\s+of\s+children\b|\bout\s+of\s+reach\b"),
 )
 
+# --- fixed values: evidence strings that a classifier records (format_string patterns) ----------
+
+EVIDENCE_TEXT = {
+    "few_tokens": "insufficient text: %d word token(s), fewer than the %d required",
+    "no_known_term": "insufficient evidence: none of the %d word token(s) is known to the model",
+    "weak_category": "below confidence threshold %.2f: best candidate %s (%.2f)",
+    "weak_subcategory": "subcategory below threshold %.2f: best candidate %s (%.2f)",
+    "signal": "signal: %s (typical of %s)",
+    "term": "term: '%s' weighed for %s",
+}
+
 # --- fixed values: applicability conditions (code, name, determination, category) --------------
 
 CONDITIONS = (
