@@ -184,6 +184,18 @@ def verification_worksheet(examples: DataFrame) -> DataFrame:
         listed("example_id").alias("example_ids"), listed("image_sha256").alias("image_digests")).withColumn("verifier", F.lit("")).withColumn("outcome", F.lit(""))
 
 
+def worksheet_lines(examples: DataFrame) -> DataFrame:
+    """(product_id, line, value): the worksheet as a table, one row per distinct example, photograph and drafted label still to be verified.
+
+    ``verification_worksheet`` puts a product's lists into one row; here a product with any number of examples spreads over all tasks.
+    Null values have no line.
+    """
+    open_ = examples.where(F.col("label_verified_by").isNull()) if "label_verified_by" in examples.columns else examples
+    line = lambda kind, value: F.struct(F.lit(kind).alias("line"), value.cast("string").alias("value"))
+    lines = F.array(line("example", F.col("example_id")), line("image", F.col("image_sha256")), line("drafted_label", F.concat_ws("/", "category", "subcategory")))
+    return open_.select("product_id", F.inline(lines)).where("value IS NOT NULL").distinct()
+
+
 def verification_summary(examples: DataFrame, ledger: DataFrame) -> DataFrame:
     v = F.col("label_verified_by").isNotNull()
     a = examples.agg(F.count(F.lit(1)).alias("examples"), F.count_if(v).alias("verified_examples"), F.count_distinct("product_id").alias("products"),

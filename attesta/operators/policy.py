@@ -20,6 +20,23 @@ def choose_product(requests: DataFrame, images: DataFrame) -> DataFrame:
     ).withColumn("product_id", F.coalesce("explicit_product_id", "_image_product")).drop("_image_product")
 
 
+def created_products(requests: DataFrame, images: DataFrame, established: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(products, runs): the rows that submissions without a product create, and the product that each run is judged as.
+
+    ``established``: run_id, category_code of the runs whose category a licensed classifier settles.  A run without a product gets a
+    row of its own, for the stated category first, else for the established one; without either it has none.  Its key follows from the
+    run, so a replay creates the same row and never a second one.  Keys are strings: the product's id, or ``run:`` and the run's id for a new row.
+    """
+    chosen = choose_product(requests, images).join(established.select("run_id", F.col("category_code").alias("_settled")), "run_id", "left")
+    fresh = F.col("product_id").isNull() & F.coalesce("stated_category", "_settled").isNotNull()
+    origin = F.when(fresh & F.col("stated_category").isNull(), F.lit("classifier")).otherwise(F.col("origin"))
+    key = F.when(fresh, F.concat(F.lit("run:"), F.col("run_id").cast("string"))).otherwise(F.col("product_id").cast("string"))
+    rows = chosen.select("run_id", key.alias("product_key"), origin.alias("origin"), fresh.alias("_fresh"),
+                         F.coalesce("stated_category", "_settled").alias("category_code"))
+    products = rows.where("_fresh").select("product_key", "category_code", F.lit(V.UNIDENTIFIED).alias("name"), "origin")
+    return products, rows.select("run_id", "product_key", "origin")
+
+
 def read_classification(raw: Column) -> Column:
     """Read a classification out of raw JSON.  Any malformed part makes it unusable, with a problem."""
     doc = F.try_parse_json(raw)

@@ -71,12 +71,26 @@ def submission_problems(declarations: DataFrame, conditions: DataFrame) -> DataF
     return declarations.join(known, "condition_code", "left").select("declaration_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def condition_catalogue(conditions: DataFrame, links: DataFrame, rules: DataFrame) -> DataFrame:
-    """(condition_code, clauses, rules): framework-sized listing of what each condition bears on."""
-    r = rules.select("clause", "rule_code").distinct()
-    return conditions.join(links, "condition_code", "left").join(r, "clause", "left").groupBy("condition_code").agg(
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "clause", "mode"))), ",").alias("clauses"),
-        F.array_join(F.array_sort(F.collect_set("rule_code")), ",").alias("rules"))
+def condition_catalogue(conditions: DataFrame, links: DataFrame, rules: DataFrame, requirements: DataFrame | None = None) -> DataFrame:
+    """(condition_code, scope, clause, mode, note, rule_codes): what each condition that a person may state bears on, a row per link.
+
+    Links of clauses that ``requirements`` (clause, is_active) calls inactive are left out, and so are links that could change
+    nothing: neither a scope clause nor an active rule stands behind them.  ``scope`` is ``rules`` where any of the condition's links
+    gates the whole rule set, else ``clause``.  ``links`` may have a ``note``.  All tables are framework-sized.
+    """
+    if "note" not in links.columns:
+        links = links.withColumn("note", F.lit(""))
+    if requirements is not None:
+        links = links.join(requirements.where("is_active").select("clause").distinct(), "clause", "left_semi")
+    codes = rules.where("is_active").groupBy("clause").agg(F.array_sort(F.collect_set("rule_code")).alias("codes"))
+    stated = conditions.where("is_active AND determination = 'user_declared'").select("condition_code")
+    gate = F.col("clause").isin(*V.SCOPE_CLAUSES)
+    rows = stated.join(links.select("condition_code", "clause", "mode", "note").distinct(), "condition_code").join(codes, "clause", "left").where(
+        gate | F.col("codes").isNotNull())
+    gates = rows.groupBy("condition_code").agg(F.max(gate).alias("gates"))
+    return rows.join(gates, "condition_code").select(
+        "condition_code", F.when(F.col("gates"), F.lit("rules")).otherwise(F.lit("clause")).alias("scope"), "clause", "mode", "note",
+        F.coalesce(F.array_join("codes", ","), F.lit("")).alias("rule_codes"))
 
 
 def changeable_conditions(conditions: DataFrame, links: DataFrame, rules: DataFrame) -> DataFrame:

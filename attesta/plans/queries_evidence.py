@@ -1,14 +1,14 @@
-"""Queries of recorded evidence strings and of what supports a suggestion."""
+"""Queries of recorded evidence strings, of what supports a suggestion, and of reports laid out as rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from attesta import vocabulary as V
-from attesta.operators import classify as M, evidence as E, policy as P
-from attesta.plans import bindings as B
+from attesta.operators import audit as A, classify as M, contracts as C, evidence as E, policy as P, reports as R
+from attesta.plans import bindings as B, evaluation as EV
 from attesta.plans.catalog import query
-from attesta.plans.oracle_core import core_ctes
+from attesta.plans.oracle_core import core, core_ctes
 from attesta.plans.queries_quality import _BIAS, _CLASSES, _SCORES, _toy_model
 
 
@@ -71,3 +71,55 @@ def supporting_evidence(i):
         "run_id", F.array_join(F.transform("label_signals", lambda s: F.concat_ws(" > ", s["phrase"], s["indicative_of"])), "; ").alias("signals"),
         F.array_join(F.transform("declared_fields", lambda f: F.concat_ws("=", f["field_key"], f["value"])), "; ").alias("fields"),
         F.array_join("model_terms", "; ").alias("terms"), F.col("has_supporting_evidence").alias("supported"), "note")
+
+
+@query("worksheet_lines", f"""WITH e AS ({B.duck(B.EXAMPLES)}), o AS (SELECT * FROM e WHERE label_verified_by IS NULL)
+SELECT DISTINCT product_id, 'example' AS line, CAST(example_id AS VARCHAR) AS value FROM o WHERE example_id IS NOT NULL UNION SELECT product_id, 'image', image_sha256 FROM o WHERE image_sha256 IS NOT NULL
+UNION SELECT product_id, 'drafted_label', concat_ws('/', category, subcategory) FROM o""")
+def worksheet_lines(i):
+    return A.worksheet_lines(i.examples)
+
+
+@query("result_rows", core("""
+SELECT run_id, 'run' AS part, CAST(run_id AS VARCHAR) AS item, status AS value FROM runs UNION ALL SELECT run_id, 'image', CAST(image_id AS VARCHAR), NULL FROM runs WHERE image_id IS NOT NULL
+UNION ALL SELECT r.run_id, 'product', CAST(r.product_id AS VARCHAR), p.category_code FROM runs r LEFT JOIN products p USING (product_id) WHERE r.product_id IS NOT NULL
+UNION ALL SELECT run_id, 'finding', rule_code, status FROM outcomes WHERE status IS NOT NULL
+UNION ALL SELECT o.run_id, 'violation', o.rule_code, o.severity FROM outcomes o WHERE o.status = 'failed'
+UNION ALL SELECT o.run_id, 'evidence', o.rule_code, CAST(coalesce(c.image_id, r.image_id) AS VARCHAR) FROM outcomes o JOIN runs r USING (run_id) LEFT JOIN chosen c ON c.run_id = o.run_id AND c.field_key = o.field_key
+  WHERE o.status = 'failed' AND coalesce(c.image_id, r.image_id) IS NOT NULL
+UNION ALL SELECT run_id, 'field', concat_ws('/', field_key, reading_id), raw_value FROM readings"""))
+def result_rows(i):
+    """Every check with its run, image, product, findings, violations, evidence and fields."""
+    c = EV.candidate_findings(i.inspections, i.framework(), B.AS_OF)
+    return C.result_rows(i.runs, i.products, EV.findings(c), EV.violations(c), i.flat_readings)
+
+
+# Submissions meet their conditions: the catalogue's links, per product that has stated the condition.
+_REQUIREMENTS = "SELECT DISTINCT clause, clause <> '18(1)' AS is_active FROM links"
+
+
+@query("condition_catalogue", core(f""", rq AS ({_REQUIREMENTS}), rc AS (SELECT clause, string_agg(DISTINCT rule_code, ',' ORDER BY rule_code) AS codes FROM rules WHERE is_active GROUP BY 1),
+ln AS (SELECT DISTINCT condition_code, clause, mode, rc.codes FROM conditions c JOIN links l USING (condition_code) JOIN rq USING (clause) LEFT JOIN rc USING (clause)
+ WHERE c.is_active AND rq.is_active AND determination = 'user_declared' AND (clause IN ('3', '26') OR rc.codes IS NOT NULL)),
+sc AS (SELECT condition_code, CASE WHEN bool_or(clause IN ('3', '26')) THEN 'rules' ELSE 'clause' END AS scope FROM ln GROUP BY 1),
+st AS (SELECT condition_code, count(DISTINCT product_id) AS products FROM declarations GROUP BY 1)
+SELECT condition_code, scope, clause, mode, concat('rule ', clause, ': ', mode) AS note, coalesce(codes, '') AS rule_codes, coalesce(products, 0) AS products FROM ln JOIN sc USING (condition_code) LEFT JOIN st USING (condition_code)"""))
+def condition_catalogue(i):
+    """What each stateable condition bears on, with the number of products it is stated of."""
+    links = i.links.withColumn("note", F.concat(F.lit("rule "), F.col("clause"), F.lit(": "), F.col("mode")))
+    requirements = i.links.select("clause", (F.col("clause") != "18(1)").alias("is_active")).distinct()
+    stated = i.declarations.groupBy("condition_code").agg(F.count_distinct("product_id").alias("products"))
+    c = R.condition_catalogue(i.conditions, links, i.rules(), requirements)
+    return c.join(stated, "condition_code", "left").withColumn("products", F.coalesce("products", F.lit(0)))
+
+
+@query("created_products", core("""SELECT concat('run:', run_id) AS product_key, CASE WHEN run_id % 7 = 0 THEN 'packaged-food' ELSE 'packaged-non-food' END AS category_code, CASE WHEN run_id % 7 = 0 THEN 'stated_category' ELSE 'classifier' END AS origin
+FROM runs WHERE run_id % 3 <> 0 AND product_id % 2 <> 0 AND (run_id % 7 = 0 OR run_id % 5 = 0)"""))
+def created_products(i):
+    """New product rows of submissions that have none: for a stated category, else for one that the classifier settles."""
+    requests = i.runs.select(
+        "run_id", "image_id", F.when(F.col("run_id") % 3 == 0, F.col("product_id")).alias("explicit_product_id"),
+        F.when(F.col("run_id") % 7 == 0, F.lit(V.FOOD)).alias("stated_category"))
+    images = i.runs.where(F.col("product_id") % 2 == 0).select("image_id", "product_id")
+    settled = i.runs.where("run_id % 5 = 0").select("run_id", F.lit(V.NON_FOOD).alias("category_code"))
+    return P.created_products(requests, images, settled)[0].drop("name")

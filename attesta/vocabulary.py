@@ -341,6 +341,9 @@ SHA256 = r"^[0-9a-f]{64}$"
 DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 
 SCOPE_CLAUSES = ("3", "26")
+
+#: Name of a product that a submission creates.
+UNIDENTIFIED = "Unidentified submission"
 # clause, mode, condition codes
 LINKS = (
     ("3", "scope_gate", ("quantity-above-25kg-25l", "bags-above-50kg", "industrial-consumer", "institutional-consumer")),

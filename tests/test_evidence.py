@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
-from attesta.operators import classify as M, evidence as E, policy as P
+from attesta.operators import audit as A, classify as M, evidence as E, policy as P
 
 
 def _raw(**c):
@@ -63,3 +63,22 @@ def test_recorded_strings(spark):
     assert got[5] == ["insufficient text: 0 word token(s), fewer than the 3 required"]
     # scores 0 and -0.577: a mass of 0.64 for food
     assert got[6][-1] == "term: 'milk' weighed for general-food"
+
+
+def test_created_products_are_the_same_on_replay(spark):
+    requests = spark.createDataFrame([(1, 10, 5, "food"), (2, 20, None, "food"), (3, 30, None, "food"), (4, 40, None, None), (5, 50, None, None), (6, None, None, None)],
+                                     "run_id int, image_id int, explicit_product_id int, stated_category string")
+    images = spark.createDataFrame([(20, 7), (20, 8)], "image_id int, product_id int")
+    settled = spark.createDataFrame([(1, "non-food"), (3, "non-food"), (4, "non-food")], "run_id int, category_code string")
+    for _ in range(2):
+        products, runs = P.created_products(requests, images, settled)
+        assert sorted(tuple(r) for r in products.select("product_key", "category_code", "origin").collect()) == [("run:3", "food", "stated_category"), ("run:4", "non-food", "classifier")]
+        assert {r.run_id: (r.product_key, r.origin) for r in runs.collect()} == {
+            1: ("5", "explicit"), 2: ("7", "image"), 3: ("run:3", "stated_category"), 4: ("run:4", "classifier"), 5: (None, "none"), 6: (None, "none")}
+
+
+def test_worksheet_lines(spark):
+    rows = [(1, "p", "food", "a", "d2", None), (2, "p", "food", "b", None, None), (3, "p", "food", "a", "d2", None), (4, "q", "food", "a", "d9", "me")]
+    got = A.worksheet_lines(spark.createDataFrame(rows, "example_id long, product_id string, category string, subcategory string, image_sha256 string, label_verified_by string"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("p", "drafted_label", "food/a"), ("p", "drafted_label", "food/b"), ("p", "example", "1"), ("p", "example", "2"), ("p", "example", "3"), ("p", "image", "d2")]
