@@ -11,7 +11,8 @@ conjugate gradients (Polak-Ribiere, restarted where they don't descend), whose o
 objective is the usual one: C times the class-weighted log loss plus half the squared coefficients, intercepts free; where a model
 sees two classes, the softmax's penalty is doubled, which equals one sigmoid.  The driver reads one row per step to know when to
 stop.  Feature rows lie by (model, example), so the gradient join does not move them; the other join is skew-split by adaptive
-execution where one term is in most texts.
+execution where one term is in most texts.  Tables of a row an example are joined by a shuffle (``_PER_EXAMPLE``): their files are
+small enough to pass for broadcast tables, and the driver would have to hold their rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from attesta.session import Written
 
 INTERCEPT = -1
 MAX_STEPS, TOLERANCE = 60, 1e-4
+_PER_EXAMPLE = "shuffle_hash"
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ class Fit:
         grams = rows.select("_e", F.explode(T.ngrams(F.col("_tokens"), 1, most)).alias("term")).groupBy("_e", "term").agg(F.count(F.lit(1)).alias("tf"))
         grams = self.keep(grams, "grams")
         self.terms = numbered(grams, "term", "slot", self.keep)
-        counts = grams.join(self.terms, "term").join(self.docs.select("_e", "fold", "ok"), "_e").select(
+        counts = grams.join(self.terms, "term").join(self.docs.select("_e", "fold", "ok").hint(_PER_EXAMPLE), "_e").select(
             "_e", "slot", "tf", "fold", "ok", F.size(F.split("term", " ")).alias("words"))
         counts = self.keep(counts, "counts")
         df = counts.where("ok").groupBy("slot", "words").agg(F.count(F.lit(1)).alias("df"))
@@ -131,7 +133,7 @@ class Fit:
         chosen = F.lit(0.0)
         for c in range(len(self.classes)):
             chosen = F.when(F.col("y") == c, F.when(F.col(f"n{c}") > 0, weight(c)).otherwise(0.0)).otherwise(chosen)
-        each = each.join(norms, ["model", "_e"], "left").join(self.model_table, "model").select(
+        each = each.join(norms.hint(_PER_EXAMPLE), ["model", "_e"], "left").join(self.model_table, "model").select(
             "model", "_e", "y", "held", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"), chosen.alias("weight"),
             *[(F.col(f"n{c}") > 0).alias(f"in{c}") for c in range(len(self.classes))])
         self.examples = self.keep(each, "rows")
@@ -161,14 +163,14 @@ class Fit:
         sums = features.join(parameters.where(f"slot <> {INTERCEPT}").select("model", "slot", *self._cols(source)), ["model", "slot"]).groupBy("model", "_e").agg(
             *[F.expr(x) for x in self._each(f"sum(x * {source}#) AS _s#")])
         bias = parameters.where(f"slot = {INTERCEPT}").selectExpr("model", *self._each(f"{source}# AS _b#"))
-        return rows.join(sums, ["model", "_e"], "left").join(bias, "model").selectExpr(
+        return rows.join(sums.hint(_PER_EXAMPLE), ["model", "_e"], "left").join(bias, "model").selectExpr(
             *[f"`{c}`" for c in rows.columns], *self._each(f"coalesce(_s#, 0D) * inverse + _b# AS {out}#"))
 
     def _gradient(self, rows: DataFrame, features: DataFrame) -> DataFrame:
         """(model, slot, r0..): sums of residual times feature at the scores m0.., intercepts with them."""
         residual = self._softmax(rows, "m#").selectExpr("model", "_e", "inverse", *self._each("weight * (p# - IF(y = #, 1D, 0D)) AS r#"))
         scaled = residual.selectExpr("model", "_e", *self._each("r# * inverse AS r#"))
-        of_terms = features.join(scaled, ["model", "_e"]).groupBy("model", "slot").agg(*[F.expr(x) for x in self._each("sum(x * r#) AS r#")])
+        of_terms = features.join(scaled.hint(_PER_EXAMPLE), ["model", "_e"]).groupBy("model", "slot").agg(*[F.expr(x) for x in self._each("sum(x * r#) AS r#")])
         of_bias = residual.groupBy("model").agg(*[F.expr(x) for x in self._each("sum(r#) AS r#")]).selectExpr("model", f"{INTERCEPT}L AS slot", *self._cols("r"))
         return of_terms.union(of_bias)
 
@@ -246,7 +248,7 @@ class Fit:
         scored = self._scores(self.features.where("held").drop("held"), rows, self.parameters, "w", "s")
         scores = F.array(*[F.when(F.col(f"in{c}"), F.col(f"s{c}")) for c in range(len(self.classes))])
         given = self.docs.select("_e", "_key", "_label", "_group")
-        return scored.join(given, "_e").join(self.model_table.select("model", "configuration"), "model").select(
+        return scored.join(given.hint(_PER_EXAMPLE), "_e").join(self.model_table.select("model", "configuration"), "model").select(
             "configuration", F.col("_group").alias(self.group or "group"), F.col("_key").alias(self.key), F.col("_label").alias(self.label),
             F.col("known").alias("known_terms"), scores.alias("scores"))
 
@@ -280,7 +282,7 @@ def cross_validate(examples: DataFrame, label: str = "subcategory", group: str =
     fit = Fit(examples, label, configurations, group, key, text).run(max_steps, tolerance)
     scored = fit.held_out().withColumn("scores", F.transform("scores", lambda s: F.coalesce(s, F.lit(-1e9))))
     texts = examples.select(F.col(key).alias("_k"), F.size(T.word_tokens(T.preprocess_text(F.col(text)))).alias("tokens")).distinct()
-    rows = scored.join(texts, scored[key].eqNullSafe(F.col("_k"))).drop("_k")
+    rows = scored.join(texts.hint(_PER_EXAMPLE), scored[key].eqNullSafe(F.col("_k"))).drop("_k")
     decided = M.decided(rows.withColumn("scores", F.when(F.col("known_terms") > 0, F.col("scores"))), fit.classes,
                         "configuration", group, key, F.col(label).alias("truth"))
     return decided, fit.folds()

@@ -1,6 +1,6 @@
 """Plans and forms that keep their size in check on larger tables."""
 
-from attesta.operators import detect as D
+from attesta.operators import classify as M, detect as D, training as TR
 
 
 def _plan(df):
@@ -13,3 +13,23 @@ def test_next_line_is_never_broadcast(spark):
     got = D.with_next_line(D.lines_from_text(texts).select("image_id", "line_index", "text"))
     assert "Broadcast" not in _plan(got)
     assert sorted((r.image_id, r.line_index, r.next_text) for r in got.collect()) == [(1, 0, "b"), (1, 1, "c"), (1, 2, None), (2, 0, None)]
+
+
+def test_examples_are_never_broadcast(spark):
+    """No step of a fit sends a row an example through the driver."""
+    words = ["sugar milk cocoa", "bleach floor stain"]
+    df = spark.createDataFrame([(n, f"p{n % 3}", "ab"[n % 2], words[n % 2] + f" x{n % 5}") for n in range(60)], "doc_id long, product_id string, subcategory string, text string")
+    fit = TR.Fit(df, "subcategory", group="product_id")
+    rows = fit.examples.where("NOT held").selectExpr("model", "_e", "y", "weight", "inverse", "in0", "in1", "0D AS m0", "0D AS m1")
+    features = fit.features.where("NOT held").drop("held")
+    parameters = fit.vocabulary.select("model", "slot").selectExpr("*", "1D AS w0", "2D AS w1")
+    for df in (fit._gradient(rows, features).where("slot >= 0"), fit._scores(features, rows, parameters, "w", "z")):
+        assert "ShuffledHashJoin [model" in _plan(df)
+
+
+def test_counts_are_never_broadcast(spark):
+    docs = spark.createDataFrame([(1, "milk sugar cocoa"), (2, "soap soap bleach")], "doc_id int, text string")
+    model = spark.createDataFrame([("milk", 1.0, [3.0, -3.0]), ("soap", 1.0, [-3.0, 3.0])], "term string, idf double, weights array<double>")
+    scored = M.linear_scores(M.term_counts(docs), model, [0.5, 0.0])
+    assert "Broadcast" not in _plan(scored)
+    assert {r.doc_id: (r.known_terms, list(r.scores)) for r in scored.collect()} == {1: (1, [3.5, -3.0]), 2: (1, [-2.5, 3.0])}
