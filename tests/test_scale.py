@@ -52,3 +52,14 @@ def test_nfkc_is_row_by_row(spark):
     got = df.select(T.nfkc(df.v).alias("v"), T.nfkc_each(df.l).alias("l"))
     assert "BatchEvalPython" in _plan(got) and "ArrowEvalPython" not in _plan(got)
     assert [tuple(r) for r in got.collect()] == [("fi5", ["fl", None, "a"]), (None, None), ("plain", [])]
+
+
+def test_texts_are_split_once(spark):
+    """No filter that makes and splits the text a second time beside the scan, and none that reads a line's contacts twice."""
+    texts = spark.createDataFrame([(1, "care a@b.example\nNet Qty: 1 kg\n98765 43210"), (2, ""), (3, None)], "image_id long, text string").repartition(2, "image_id")
+    lines = D.lines_from_text(texts)
+    assert _plan(lines).count("BatchEvalPython") == 1
+    assert sorted((r.image_id, r.line_index, r.next_text) for r in lines.collect()) == [(1, 0, "Net Qty: 1 kg"), (1, 1, "98765 43210"), (1, 2, None)]
+    contacts = D.contact_lines(lines)
+    assert _plan(contacts).count(D.V.EMAIL) == 1
+    assert sorted((r.line_index, *r.emails, *r.phones) for r in contacts.collect()) == [(0, "a@b.example"), (2, "98765 43210")]
