@@ -5,6 +5,9 @@ index built by range partitions and prefix counts.  What a fold leaves out is su
 counts and sizes are the totals less those of its own group.  Features are rows (model, example, slot, x), coefficients rows
 (model, slot, one column a class) - both tables, joined on their keys.
 
+Texts of the same words, label and group are one weighted row: it counts as often as it occurs in sizes, document frequencies, the loss and
+its gradient, so steps grow with the different texts and not with their copies.
+
 All models take each step together: one join and aggregation for the scores along the search direction, a line search from
 per-model sums, and one join and aggregation for the gradient by (model, slot), combined map-side.  Directions are
 conjugate gradients (Polak-Ribiere, restarted where they don't descend), whose only global numbers are a few sums per model.  The
@@ -79,7 +82,9 @@ class Fit:
         rows = examples.select(
             F.col(key).alias("_key"), F.col(label).alias("_label"), (F.col(group) if group else F.lit(None).cast("string")).alias("_group"),
             T.feature_tokens(cleaned).alias("_tokens"), F.size(T.word_tokens(cleaned)).alias("_words"))
-        rows = self.keep(rows.withColumn("_e", F.monotonically_increasing_id()), "examples")
+        self.given = self.keep(rows, "given")
+        rows = self.given.groupBy("_label", "_group", "_tokens", "_words").agg(F.count(F.lit(1)).alias("copies"))
+        self.texts = rows = self.keep(rows.withColumn("_e", F.monotonically_increasing_id()), "examples")
         self.classes = [r[0] for r in rows.where(F.col("_label").isNotNull()).select("_label").distinct().orderBy("_label").collect()]
         y = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col("_label")) - 1 if self.classes else F.lit(0)
         ok = (F.col("_words") >= M.MIN_TOKENS) & F.col("_label").isNotNull()
@@ -89,16 +94,16 @@ class Fit:
             n_folds = folds.count()
         else:
             docs, n_folds = rows.withColumn("fold", F.lit(None).cast("long")), 1
-        self.docs = self.keep(docs.select("_e", "_key", "_label", "_group", "fold", F.coalesce(y, F.lit(-1)).cast("int").alias("y"), ok.alias("ok")), "docs")
+        self.docs = self.keep(docs.select("_e", "copies", "_label", "_group", "fold", F.coalesce(y, F.lit(-1)).cast("int").alias("y"), ok.alias("ok")), "docs")
         self.models = n_folds * per
         every = F.explode(F.sequence(F.lit(0), F.lit(max(0, self.models - 1)))).alias("model")
         of = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), (F.col("model") % per).cast("int"))
         held_fold = F.floor(F.col("model") / per)
         most = max((c.high for c in self.configurations), default=2)
         # sizes and class counts of each model, by subtraction
-        counted = [F.count_if(F.col("ok") & (F.col("y") == c)).alias(f"n{c}") for c in range(len(self.classes))]
+        counted = [F.coalesce(F.sum(F.when(F.col("ok") & (F.col("y") == c), F.col("copies"))), F.lit(0)).alias(f"n{c}") for c in range(len(self.classes))]
         total = self.docs.agg(*counted)
-        own = self.docs.where("fold IS NOT NULL").groupBy("fold").agg(*counted, F.count(F.lit(1)).alias("held_out"))
+        own = self.docs.where("fold IS NOT NULL").groupBy("fold").agg(*counted, F.sum("copies").alias("held_out"))
         left = lambda c: (F.col(f"t.n{c}") - F.coalesce(F.col(f"o.n{c}"), F.lit(0)))
         sums = lambda xs: sum(xs, F.lit(0))
         models = total.select("*", every).withColumn("fold", held_fold).alias("t").join(own.alias("o"), F.col("t.fold") == F.col("o.fold"), "left")
@@ -112,11 +117,11 @@ class Fit:
         grams = rows.select("_e", F.explode(T.ngrams(F.col("_tokens"), 1, most)).alias("term")).groupBy("_e", "term").agg(F.count(F.lit(1)).alias("tf"))
         grams = self.keep(grams, "grams")
         self.terms = numbered(grams, "term", "slot", self.keep)
-        counts = grams.join(self.terms, "term").join(self.docs.select("_e", "fold", "ok").hint(_PER_EXAMPLE), "_e").select(
-            "_e", "slot", "tf", "fold", "ok", F.size(F.split("term", " ")).alias("words"))
+        counts = grams.join(self.terms, "term").join(self.docs.select("_e", "copies", "fold", "ok").hint(_PER_EXAMPLE), "_e").select(
+            "_e", "copies", "slot", "tf", "fold", "ok", F.size(F.split("term", " ")).alias("words"))
         counts = self.keep(counts, "counts")
-        df = counts.where("ok").groupBy("slot", "words").agg(F.count(F.lit(1)).alias("df"))
-        own_df = counts.where("ok AND fold IS NOT NULL").groupBy("slot", "fold").agg(F.count(F.lit(1)).alias("own"))
+        df = counts.where("ok").groupBy("slot", "words").agg(F.sum("copies").alias("df"))
+        own_df = counts.where("ok AND fold IS NOT NULL").groupBy("slot", "fold").agg(F.sum("copies").alias("own"))
         vocabulary = df.select("slot", "words", "df", every).withColumn("fold", held_fold).join(own_df, ["slot", "fold"], "left").join(
             self.model_table.select("model", "n"), "model").withColumn("seen", F.col("df") - F.coalesce("own", F.lit(0)))
         vocabulary = vocabulary.where((F.col("seen") >= of([c.min_df for c in self.configurations], "int")) & (F.col("words") <= of([c.high for c in self.configurations], "int")))
@@ -128,13 +133,13 @@ class Fit:
         rows = rows.join(self.vocabulary, ["model", "slot"]).select("model", "_e", "slot", (tf * F.col("idf")).alias("x"), "held")
         self.features = self.keep(rows, "features")
         norms = self.features.groupBy("model", "_e").agg(F.count(F.lit(1)).alias("known"), (1 / F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("inverse"))
-        each = self.docs.select("_e", "y", "fold", "ok", every).withColumn("held", held).where("ok OR held").drop("fold", "ok")
+        each = self.docs.select("_e", "copies", "y", "fold", "ok", every).withColumn("held", held).where("ok OR held").drop("fold", "ok")
         weight = lambda c: F.col("n") / (F.col("present") * F.col(f"n{c}"))
         chosen = F.lit(0.0)
         for c in range(len(self.classes)):
             chosen = F.when(F.col("y") == c, F.when(F.col(f"n{c}") > 0, weight(c)).otherwise(0.0)).otherwise(chosen)
         each = each.join(norms.hint(_PER_EXAMPLE), ["model", "_e"], "left").join(self.model_table, "model").select(
-            "model", "_e", "y", "held", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"), chosen.alias("weight"),
+            "model", "_e", "y", "held", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("inverse", F.lit(0.0)).alias("inverse"), (chosen * F.col("copies")).alias("weight"),
             *[(F.col(f"n{c}") > 0).alias(f"in{c}") for c in range(len(self.classes))])
         self.examples = self.keep(each, "rows")
         for name in ("grams", "counts"):
@@ -244,13 +249,21 @@ class Fit:
 
         Scores of classes that a model does not know are null.
         """
+        return self.held_out_texts().drop("tokens")
+
+    def held_out_texts(self) -> DataFrame:
+        """`held_out` with the number of word ``tokens``; a text's scores go to each of its copies."""
         rows = self.examples.where("held").select("model", "_e", "known", "inverse", *self._cols("in"))
         scored = self._scores(self.features.where("held").drop("held"), rows, self.parameters, "w", "s")
         scores = F.array(*[F.when(F.col(f"in{c}"), F.col(f"s{c}")) for c in range(len(self.classes))])
-        given = self.docs.select("_e", "_key", "_label", "_group")
-        return scored.join(given.hint(_PER_EXAMPLE), "_e").join(self.model_table.select("model", "configuration"), "model").select(
+        named = scored.join(self.texts.select("_e", "_label", "_group", "_tokens").hint(_PER_EXAMPLE), "_e").join(self.model_table.select("model", "configuration"), "model").select(
+            "configuration", "_label", "_group", "_tokens", F.col("known").alias("known_terms"), scores.alias("scores"))
+        same = ["_label", "_group", "_tokens"]
+        given = self.given.select("_key", "_words", *[F.col(c).alias(f"{c}_given") for c in same])
+        each = given.join(named.hint(_PER_EXAMPLE), [F.col(f"{c}_given").eqNullSafe(F.col(c)) for c in same])
+        return each.select(
             "configuration", F.col("_group").alias(self.group or "group"), F.col("_key").alias(self.key), F.col("_label").alias(self.label),
-            F.col("known").alias("known_terms"), scores.alias("scores"))
+            "known_terms", "scores", F.col("_words").alias("tokens"))
 
     def folds(self) -> DataFrame:
         """(configuration, group, n_train, n_held_out, classes_in_training, held_out_classes_absent_from_training) of each model."""
@@ -280,9 +293,7 @@ def cross_validate(examples: DataFrame, label: str = "subcategory", group: str =
     group are learnt from by all models and held out by none.  A repeated key is one example a row.
     """
     fit = Fit(examples, label, configurations, group, key, text).run(max_steps, tolerance)
-    scored = fit.held_out().withColumn("scores", F.transform("scores", lambda s: F.coalesce(s, F.lit(-1e9))))
-    texts = examples.select(F.col(key).alias("_k"), F.size(T.word_tokens(T.preprocess_text(F.col(text)))).alias("tokens")).distinct()
-    rows = scored.join(texts.hint(_PER_EXAMPLE), scored[key].eqNullSafe(F.col("_k"))).drop("_k")
+    rows = fit.held_out_texts().withColumn("scores", F.transform("scores", lambda s: F.coalesce(s, F.lit(-1e9))))
     decided = M.decided(rows.withColumn("scores", F.when(F.col("known_terms") > 0, F.col("scores"))), fit.classes,
                         "configuration", group, key, F.col(label).alias("truth"))
     return decided, fit.folds()

@@ -139,3 +139,12 @@ def test_terms_are_numbered_without_gaps(spark):
 def test_training_needs_two_classes(spark):
     with pytest.raises(ValueError):
         TR.train(spark.createDataFrame([(1, "a", "one two three")], "doc_id long, subcategory string, text string"), "subcategory")
+
+
+def test_copies_are_one_weighted_row(spark, rows):
+    """Repeated texts are fitted once each; their models and scores are those of all the rows."""
+    tripled = [(n, *r[1:]) for n, r in enumerate(rows[:40] * 3)]
+    fit = TR.Fit(spark.createDataFrame(tripled, "doc_id long, product_id string, subcategory string, text string"), "subcategory", WAYS[:1], "product_id")
+    assert fit.docs.count() <= 40 and fit.docs.agg(F.sum("copies")).first()[0] == 120
+    held_against(fit.run(tolerance=5e-5), tripled, WAYS[:1])
+    assert fit.held_out().count() == 120
