@@ -91,7 +91,7 @@ UNION ALL SELECT run_id, 'field', concat_ws('/', field_key, reading_id), raw_val
 def result_rows(i):
     """Every check with its run, image, product, findings, violations, evidence and fields."""
     c = EV.candidate_findings(i.inspections, i.framework(), B.AS_OF)
-    return C.result_rows(i.runs, i.products, EV.findings(c), EV.violations(c), i.flat_readings)
+    return C.result_rows(i.runs, i.products, EV.pictured(EV.findings(c)), i.flat_readings)
 
 
 # Submissions meet their conditions: the catalogue's links, per product that has stated the condition.

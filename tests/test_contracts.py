@@ -79,3 +79,17 @@ def test_the_shipped_framework_breaks_no_rule_of_its_own(spark):
     from attesta.plans.bindings import Inputs
 
     assert C.condition_problems(Inputs(spark, "").conditions).count() == 0
+
+
+def test_result_rows_evaluate_the_framework_once(spark):
+    """Findings, violations and evidence come out of one evaluation of the rules."""
+    plan = entry.queries()["result_rows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(rules") == 1
+    runs = spark.createDataFrame([(1, 9, 7, "completed"), (2, None, None, "empty")], "run_id long, product_id long, image_id long, status string")
+    products = spark.createDataFrame([(9, "food")], "product_id long, category_code string")
+    findings = spark.createDataFrame([(1, "a", "failed", "major", 7), (1, "b", "failed", "minor", None), (2, "c", "passed", "minor", 3)], "run_id long, rule_code string, status string, severity string, evidence_image_id long")
+    readings = spark.createDataFrame([(1, "net", 5, None), (3, "net", 6, "x")], "run_id long, field_key string, reading_id long, raw_value string")
+    got = sorted((tuple(r) for r in C.result_rows(runs, products, findings, readings).collect()), key=str)
+    assert got == sorted([
+        (1, "run", "1", "completed"), (1, "image", "7", None), (1, "product", "9", "food"), (2, "run", "2", "empty"), (1, "finding", "a", "failed"), (1, "finding", "b", "failed"),
+        (2, "finding", "c", "passed"), (1, "violation", "a", "major"), (1, "violation", "b", "minor"), (1, "evidence", "a", "7"), (1, "field", "net/5", None)], key=str)
