@@ -196,23 +196,27 @@ def _month_year(c: CheckInput) -> Column:
 def _si_unit(c: CheckInput) -> Column:
     key = "net_quantity"
     reading = c.reading(key)
-    unit = F.lower(F.trim(F.coalesce(reading["normalized"]["unit"], F.lit(""))))
-    return (
-        F.when(~c.usable, outcome(INCONCLUSIVE, key, "no readable text"))
-        .when(reading.isNull(), outcome(INCONCLUSIVE, key, "declaration not read"))
-        .when(unit == "", outcome(INCONCLUSIVE, key, "no unit identified", reading))
+    stated = F.trim(F.coalesce(reading["normalized"]["unit"], F.lit("")))
+    listed = ("", *V.NON_SI_UNITS, *V.MASS_UNITS, *V.VOLUME_UNITS, *V.COUNT_UNITS)  # lower case as they are; ICU's is slow
+    judged = lambda unit: (
+        F.when(unit == "", outcome(INCONCLUSIVE, key, "no unit identified", reading))
         .when(unit.isin(*V.NON_SI_UNITS), outcome(FAILED, key, "unit is not SI", reading, detail=unit))
         .when(unit.isin(*V.MASS_UNITS, *V.VOLUME_UNITS), outcome(PASSED, key, "SI unit", reading, detail=unit))
         .when(unit.isin(*V.COUNT_UNITS), outcome(PASSED, key, "declared by number", reading, detail=unit))
         .otherwise(outcome(INCONCLUSIVE, key, "unit not recognised", reading, detail=unit))
     )
+    return (
+        F.when(~c.usable, outcome(INCONCLUSIVE, key, "no readable text"))
+        .when(reading.isNull(), outcome(INCONCLUSIVE, key, "declaration not read"))
+        .otherwise(T.let(F.when(stated.isin(*listed), stated).otherwise(F.lower(stated)), judged))
+    )
 
 
 def prohibited_count(raw: Column, unit: Column) -> Column:
     """The first prohibited counting word, ignoring "gross weight" and its relatives."""
     text = F.concat(F.coalesce(raw, F.lit("")), F.lit(" "), F.coalesce(unit, F.lit("")))
     masked = F.regexp_replace(text, T.ci(r"\bgross\s+(weight|wt|mass|vol|volume)\b"), " ")
-    return F.coalesce(*[F.when(masked.rlike(T.ci(rf"\b{word}\b")), F.lit(word)) for word in V.PROHIBITED_COUNTS])
+    return T.let(masked, lambda m: F.coalesce(*[F.when(m.rlike(T.ci(rf"\b{word}\b")), F.lit(word)) for word in V.PROHIBITED_COUNTS]))
 
 
 def _prohibited_counting_unit(c: CheckInput) -> Column:
@@ -222,8 +226,8 @@ def _prohibited_counting_unit(c: CheckInput) -> Column:
     return (
         F.when(~c.usable, outcome(INCONCLUSIVE, key, "no readable text"))
         .when(reading.isNull(), outcome(INCONCLUSIVE, key, "declaration not read"))
-        .when(word.isNotNull(), outcome(FAILED, key, "prohibited counting unit", reading, detail=word))
-        .otherwise(outcome(PASSED, key, "no prohibited counting unit", reading))
+        .otherwise(T.let(word, lambda w: F.when(w.isNotNull(), outcome(FAILED, key, "prohibited counting unit", reading, detail=w))
+                         .otherwise(outcome(PASSED, key, "no prohibited counting unit", reading))))
     )
 
 

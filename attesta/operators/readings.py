@@ -11,26 +11,35 @@ def image_positions(run_images: DataFrame) -> DataFrame:
     return run_images.select("run_id", "image_id", "position")
 
 
+_BODY = ("reading_id", "image_id", "raw_value", "confidence", "normalized", "box")
+
+
+def _earliest() -> Column:
+    """Earliest photograph, then the order readings were written; a null ``position`` (no membership row) stands at 1."""
+    return F.struct(F.coalesce("position", F.lit(1)).alias("p"), F.coalesce("reading_id", F.lit(0)).alias("i"))
+
+
 def first_readings(readings: DataFrame, keys: tuple[str, ...] = V.FIELD_KEYS) -> DataFrame:
     """One reading per (run, declaration): earliest photograph, then the order readings were written.
 
     ``position`` may be null (no membership row): such a reading stands at position 1.  The choice
     is a ``min_by`` aggregate, so all but one reading per map task and key is gone before the shuffle.
     """
-    order = F.struct(F.coalesce("position", F.lit(1)).alias("p"), F.coalesce("reading_id", F.lit(0)).alias("i"))
-    body = F.struct("reading_id", "image_id", "raw_value", "confidence", "normalized", "box")
     return (
         readings.where(F.col("field_key").isin(*keys))
-        .groupBy("run_id", "field_key").agg(F.min_by(body, order).alias("reading"))
+        .groupBy("run_id", "field_key").agg(F.min_by(F.struct(*_BODY), _earliest()).alias("reading"))
     )
 
 
 def reading_maps(readings: DataFrame, keys: tuple[str, ...] = V.FIELD_KEYS) -> DataFrame:
-    """(run_id, fields): declaration -> chosen reading; at most one entry per vocabulary key."""
-    pair = F.struct("field_key", "reading")
-    return first_readings(readings, keys).groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(pair)).alias("fields")
-    )
+    """(run_id, fields): declaration -> chosen reading; at most one entry per vocabulary key.
+
+    The choice of ``first_readings``, with one aggregate a key, so readings are shuffled and sorted once, by their run.
+    """
+    chosen = [F.min_by(F.struct(*_BODY), F.when(F.col("field_key") == k, _earliest())).alias(f"_{n}") for n, k in enumerate(keys)]
+    entries = F.array(*[F.when(F.col(f"_{n}").isNotNull(), F.struct(F.lit(k).alias("field_key"), F.col(f"_{n}").alias("reading"))) for n, k in enumerate(keys)])
+    return readings.where(F.col("field_key").isin(*keys)).groupBy("run_id").agg(*chosen).select(
+        "run_id", F.map_from_entries(F.array_compact(entries)).alias("fields"))
 
 
 # --- several photographs of one package ------------------------------------------------------

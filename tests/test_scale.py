@@ -77,3 +77,26 @@ def test_terms_are_shuffled_once_to_their_weight(spark):
     # document 0: cc dd, dd are in 3 of 6, ties fall to the term; document 1: aa is there twice, bb in 3 of 6
     assert got[:4] == [(0, 1, "cc dd"), (0, 2, "dd"), (1, 1, "aa"), (1, 2, "bb")] and len(got) == 12
     assert "ReusedExchange" in _plan(top)
+
+
+def test_rules_are_decided_once_a_product_and_checked_once(spark):
+    """Links are answered before runs are met, the framework's rules don't travel with the runs, and no filter on the outcome repeats a check."""
+    import __spark_entry__ as entry
+
+    found = entry.queries()["finding_snapshot"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("declared by number") == 1 and plan.count("withholds_exemption") == plan.split("explode(rules")[1].count("withholds_exemption")
+
+
+def test_readings_are_shuffled_once(spark):
+    """One layout by run; the earliest photograph wins, then the smaller id; a null position is 1, unknown keys drop out."""
+    from attesta.functions import values as N
+    from attesta.operators import readings as R
+
+    rows = [(1, 5, 2, "net_quantity", "late"), (1, 9, None, "net_quantity", "null is one"), (1, 8, 1, "net_quantity", "first"), (1, 1, 1, "no key", "x"), (2, None, 1, "importer_name", "no id"), (3, 1, 1, "unlisted", "x")]
+    df = spark.createDataFrame(rows, "run_id long, reading_id long, position int, field_key string, raw_value string").selectExpr(
+        "*", "CAST(NULL AS BIGINT) AS image_id", "0.9D AS confidence")
+    df = df.withColumn("normalized", N.normalized()).selectExpr("*", f"CAST(NULL AS {N.BOX_TYPE}) AS box")
+    got = R.reading_maps(df)
+    assert _plan(got).count("Exchange hashpartitioning(") == 1
+    assert {r.run_id: {k: v.raw_value for k, v in r.fields.items()} for r in got.collect()} == {1: {"net_quantity": "first"}, 2: {"importer_name": "no id"}}
