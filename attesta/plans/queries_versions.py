@@ -24,7 +24,7 @@ def version_digests_agree(i):
     """One digest for the same rows in another order and layout, another one after a single edit."""
     old = i.sql(_OLD)
     d = lambda df: VE.version_digest(df, "doc_id").select("rows", F.col("digest").alias("d"), F.lit(1).alias("one"))
-    same = d(old.select("source", "lang", "text", "doc_id").repartition(5, "source"))
+    same = d(old.select("source", "lang", "text", "doc_id").repartition("doc_id"))  # by a key with as many values as rows: no task's share grows with the table
     edited = d(old.withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))))
     return d(old).alias("a").join(same.alias("b"), "one").join(edited.alias("c"), "one").select(
         F.col("a.rows").alias("rows"), (F.col("a.d") == F.col("b.d")).alias("reordered_same"), (F.col("a.d") == F.col("c.d")).alias("edited_same"))

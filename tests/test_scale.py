@@ -100,3 +100,11 @@ def test_readings_are_shuffled_once(spark):
     got = R.reading_maps(df)
     assert _plan(got).count("Exchange hashpartitioning(") == 1
     assert {r.run_id: {k: v.raw_value for k, v in r.fields.items()} for r in got.collect()} == {1: {"net_quantity": "first"}, 2: {"importer_name": "no id"}}
+
+
+def test_another_layout_spreads_over_all_tasks(spark):
+    """The reordered copy is dealt out by its key over Spark's partitions, not by a few sources into five."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["version_digests_agree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and "RepartitionByExpression [source" not in plan
