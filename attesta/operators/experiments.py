@@ -78,10 +78,8 @@ def extraction_grid(samples: DataFrame, annotations: DataFrame, predictions: Dat
     have predictions, so each of them is scored over the whole set.
     """
     ran = predictions.select("configuration").distinct().join(requested.select("configuration").distinct(), "configuration", "left_semi")
-    both = lambda df: F.struct("configuration", "sample_id")
-    at = lambda df: df.withColumn("sample_id", both(df)).drop("configuration")
     names = F.array_sort(F.collect_set("configuration"))  # as many as were requested
     every = ran.agg(names.alias("names"))
     spread = lambda df: df.join(F.broadcast(every)).withColumn("configuration", F.explode("names")).drop("names")
-    cells = Q.outcome_cells(at(spread(samples.select("sample_id"))), at(spread(annotations)), at(predictions), at(unread))
-    return requested_rows(Q.per_key(cells.select("*", F.col("sample_id.configuration").alias("configuration")), "configuration"), requested)
+    cells = Q.outcome_cells(spread(samples.select("sample_id")), spread(annotations), predictions, unread, by=("configuration",))
+    return requested_rows(Q.per_key(cells, "configuration"), requested)

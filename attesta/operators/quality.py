@@ -12,41 +12,43 @@ OUTCOMES = ("true_positive", "false_positive", "false_negative", "true_negative"
 
 
 #: What the tables say of a cell; each leaves the others' part null.
-_FACTS = {"supported": "boolean", "annotated": "boolean", "state": "string", "value": "string", "expected": "string", "emitted": "boolean",
+_FACTS = {"supported": "boolean", "state": "string", "value": "string", "expected": "string", "emitted": "boolean",
           "raw_value": "string", "committed": "boolean", "uncertain": "boolean", "forms": "array<string>", "line": "string", "unread": "boolean"}
 
 
-def key_grid(samples: DataFrame, keys=V.SUPPORTED_KEYS) -> DataFrame:
+def key_grid(samples: DataFrame, keys=V.SUPPORTED_KEYS, by: tuple[str, ...] = ()) -> DataFrame:
     """(sample_id, key) over the whole vocabulary; exploded from a literal array, not a join."""
-    return samples.select("sample_id", F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
+    return samples.select("sample_id", *by, F.explode(F.array(*[F.lit(k) for k in keys])).alias("key"))
 
 
 def outcome_cells(samples: DataFrame, annotations: DataFrame, predictions: DataFrame, unread: DataFrame,
-                  keys=V.SUPPORTED_KEYS) -> DataFrame:
+                  keys=V.SUPPORTED_KEYS, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per (sample, key): truth state, what was predicted, and whether the value matches.
 
     ``annotations``: sample_id, key, state, value.  ``predictions``: sample_id, key, raw_value,
     values (comparable strings), committed, uncertain.  ``unread``: sample_id, key.  All of them and the grid of supported
     keys are united and folded by (sample, key) in one aggregation.  An annotation whose key nobody extracts is a cell of
-    its own with an unknown truth, so it is counted as excluded and nowhere else; samples not listed have no cells.
+    its own with an unknown truth, so it is counted as excluded and nowhere else; samples not listed have no cells.  Such annotations
+    are taken aside first, so nothing is folded twice.  ``by``: further columns of all tables and of the cells, such as a configuration.
     """
     value, raw = F.col("value"), F.col("raw_value")
-    said = lambda df, **given: df.select("sample_id", "key", *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FACTS.items()])
+    own, known = ("sample_id", *by), F.coalesce(F.col("key").isin(*keys), F.lit(False))
+    extra = annotations.where(~known).join(samples.select(*own), list(own), "left_semi").groupBy(*own, "key").agg(F.max("value").alias("value"))
+    annotations, predictions, unread = (df.where(known) for df in (annotations, predictions, unread))
+    said = lambda df, **given: df.select(*own, "key", *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FACTS.items()])
     facts = (
-        said(key_grid(samples, keys), supported=F.lit(True))
-        .union(said(annotations, annotated=F.lit(True), state=F.col("state"), value=value, expected=T.comparison_form(F.coalesce(value, F.lit("")))))
+        said(key_grid(samples, keys, by), supported=F.lit(True))
+        .union(said(annotations, state=F.col("state"), value=value, expected=T.comparison_form(F.coalesce(value, F.lit("")))))
         .union(said(predictions, emitted=F.lit(True), raw_value=raw, committed=F.col("committed"), uncertain=F.col("uncertain"),
                     forms=T.comparison_forms(F.col("values")), line=T.comparison_form(raw)))
         .union(said(unread, unread=F.lit(True)))
     )
-    cells = facts.groupBy("sample_id", "key").agg(*[F.max(n).alias(n) for n in _FACTS])
-    extra = cells.where("supported IS NULL AND annotated").join(samples.select("sample_id"), "sample_id", "left_semi").select(
-        "sample_id", "key", *[(F.col(n) if n == "value" else F.lit(None).cast(t)).alias(n) for n, t in _FACTS.items()])
-    cells = cells.where("supported").union(extra)
+    cells = facts.groupBy(*own, "key").agg(*[F.max(n).alias(n) for n in _FACTS]).where("supported")
+    cells = cells.union(extra.select(*own, "key", *[(F.col(n) if n == "value" else F.lit(None).cast(t)).alias(n) for n, t in _FACTS.items()]))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     match = T.value_matches(F.col("expected"), F.col("forms"), F.col("line"))
     return cells.select(
-        "sample_id", "key", F.coalesce("state", F.lit("unknown")).alias("state"), "value", "raw_value",
+        *own, "key", F.coalesce("state", F.lit("unknown")).alias("state"), "value", "raw_value",
         flag("emitted").alias("emitted"), (flag("emitted") & flag("committed")).alias("has_value"),
         ((flag("emitted") & ~flag("committed")) | flag("unread")).alias("declined"),
         (flag("emitted") & flag("uncertain")).alias("uncertain"), F.coalesce(match, F.lit(False)).alias("matches"),

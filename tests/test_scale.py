@@ -108,3 +108,23 @@ def test_another_layout_spreads_over_all_tasks(spark):
 
     plan = entry.queries()["version_digests_agree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [doc_id" in plan and "RepartitionByExpression [source" not in plan
+
+
+def test_cells_are_folded_once(spark):
+    """Annotations of keys nobody extracts are cells of listed samples only, in every configuration, and take no second fold of the facts."""
+    from attesta.operators import quality as Q
+
+    samples = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "sample_id long, configuration string")
+    ann = spark.createDataFrame([(1, "a", "batch_x", "unknown", "v"), (1, "a", "net_quantity", "present_and_readable", "5 g"), (9, "a", "batch_x", "unknown", "w"), (1, "b", None, "unknown", "n")],
+                                "sample_id long, configuration string, key string, state string, value string")
+    pred = spark.createDataFrame([(1, "a", "net_quantity", "net 5 G", ["5 g"], True, False)],
+                                 "sample_id long, configuration string, key string, raw_value string, values array<string>, committed boolean, uncertain boolean")
+    unread = spark.createDataFrame([(2, "a", "net_quantity")], "sample_id long, configuration string, key string")
+    cells = Q.outcome_cells(samples, ann, pred, unread, keys=("net_quantity", "best_before"), by=("configuration",))
+    assert _plan(cells).count("BatchEvalPython") <= 3
+    got = sorted((r.sample_id, r.configuration, r.key or "-", r.state, r.has_value, r.declined, r.matches) for r in cells.collect())
+    blank = ("unknown", False, False, False)
+    assert got == sorted([
+        (1, "a", "net_quantity", "present_and_readable", True, False, True), (1, "a", "best_before", *blank), (1, "a", "batch_x", *blank),
+        (1, "b", "net_quantity", *blank), (1, "b", "best_before", *blank), (1, "b", "-", *blank),
+        (2, "a", "net_quantity", "unknown", False, True, False), (2, "a", "best_before", *blank)])
