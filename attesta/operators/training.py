@@ -14,8 +14,11 @@ conjugate gradients (Polak-Ribiere, restarted where they don't descend), whose o
 objective is the usual one: C times the class-weighted log loss plus half the squared coefficients, intercepts free; where a model
 sees two classes, the softmax's penalty is doubled, which equals one sigmoid.  The driver reads one row per step to know when to
 stop.  Feature rows lie by (model, example), so the gradient join does not move them; the other join is skew-split by adaptive
-execution where one term is in most texts.  Tables of a row an example are joined by a shuffle (``_PER_EXAMPLE``): their files are
-small enough to pass for broadcast tables, and the driver would have to hold their rows.
+execution where one term is in most texts.  They lie in as many partitions as their number asks for: a fit over few different texts takes
+few tasks a step, however many partitions the session has for its larger tables.  Tables of a row an example are joined by a shuffle
+(``_PER_EXAMPLE``): their files are small enough to pass for broadcast tables, and the driver would have to hold their rows.  Decisions are
+made once a different text and then go to its copies: where the different texts are measured to be at most ``FEW_BYTES`` they go as a
+broadcast table and the copies stay where they are, else both meet by a shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from attesta.session import Written
 
 INTERCEPT = -1
 MAX_STEPS, TOLERANCE = 60, 1e-4
+FEATURES_A_TASK, FEW_BYTES = 50_000, 4 << 20
 _PER_EXAMPLE = "shuffle_hash"
 
 
@@ -81,10 +85,12 @@ class Fit:
         cleaned = T.preprocess_text(F.col(text))
         rows = examples.select(
             F.col(key).alias("_key"), F.col(label).alias("_label"), (F.col(group) if group else F.lit(None).cast("string")).alias("_group"),
-            T.feature_tokens(cleaned).alias("_tokens"), F.size(T.word_tokens(cleaned)).alias("_words"))
+            T.feature_tokens(cleaned).alias("_tokens"))
         self.given = self.keep(rows, "given")
-        rows = self.given.groupBy("_label", "_group", "_tokens", "_words").agg(F.count(F.lit(1)).alias("copies"))
+        rows = self.given.groupBy("_label", "_group", "_tokens").agg(F.count(F.lit(1)).alias("copies")).withColumn("_words", F.size("_tokens"))
         self.texts = rows = self.keep(rows.withColumn("_e", F.monotonically_increasing_id()), "examples")
+        row_bytes = F.octet_length(F.concat_ws("", "_tokens", "_label", "_group")) + 16 * F.col("_words") + 200
+        self.few = per * (rows.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= FEW_BYTES
         self.classes = [r[0] for r in rows.where(F.col("_label").isNotNull()).select("_label").distinct().orderBy("_label").collect()]
         y = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col("_label")) - 1 if self.classes else F.lit(0)
         ok = (F.col("_words") >= M.MIN_TOKENS) & F.col("_label").isNotNull()
@@ -179,11 +185,15 @@ class Fit:
         of_bias = residual.groupBy("model").agg(*[F.expr(x) for x in self._each("sum(r#) AS r#")]).selectExpr("model", f"{INTERCEPT}L AS slot", *self._cols("r"))
         return of_terms.union(of_bias)
 
+    def _laid_out(self) -> DataFrame:
+        """The feature rows that are learnt from, by (model, example)."""
+        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1 + self.features.count() // FEATURES_A_TASK)
+        return self.features.where("NOT held").drop("held").repartition(parts, "model", "_e")
+
     def run(self, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE) -> Fit:
         """Fit all models until every gradient is below ``tolerance`` a row of training data, or ``max_steps`` are done."""
         keep, penalty = self.keep, self.model_table.select("model", "penalty", "n")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        features = self.features.where("NOT held").drop("held").repartition(parts, "model", "_e").persist(StorageLevel.MEMORY_AND_DISK)
+        features = self._laid_out().persist(StorageLevel.MEMORY_AND_DISK)
         rows = self.examples.where("NOT held").selectExpr("model", "_e", "y", "weight", "inverse", *self._cols("in"), *self._each("0D AS m#"), "0D AS a")
         bias = self.model_table.selectExpr("model", f"{INTERCEPT}L AS slot")
         zeros = [x for n in ("w", "g", "d") for x in self._each(f"0D AS {n}#")]
@@ -249,21 +259,23 @@ class Fit:
 
         Scores of classes that a model does not know are null.
         """
-        return self.held_out_texts().drop("tokens")
+        return self.each_copy(self.held_out_texts()).select(
+            "configuration", F.col("_group").alias(self.group or "group"), F.col("_key").alias(self.key), F.col("_label").alias(self.label), "known_terms", "scores")
 
     def held_out_texts(self) -> DataFrame:
-        """`held_out` with the number of word ``tokens``; a text's scores go to each of its copies."""
+        """(configuration, _label, _group, _tokens, known_terms, scores, tokens): each different held-out text once, ``tokens`` being its number of words."""
         rows = self.examples.where("held").select("model", "_e", "known", "inverse", *self._cols("in"))
         scored = self._scores(self.features.where("held").drop("held"), rows, self.parameters, "w", "s")
         scores = F.array(*[F.when(F.col(f"in{c}"), F.col(f"s{c}")) for c in range(len(self.classes))])
-        named = scored.join(self.texts.select("_e", "_label", "_group", "_tokens").hint(_PER_EXAMPLE), "_e").join(self.model_table.select("model", "configuration"), "model").select(
-            "configuration", "_label", "_group", "_tokens", F.col("known").alias("known_terms"), scores.alias("scores"))
+        texts = self.texts.select("_e", "_label", "_group", "_tokens", "_words").hint(_PER_EXAMPLE)
+        return scored.join(texts, "_e").join(self.model_table.select("model", "configuration"), "model").select(
+            "configuration", "_label", "_group", "_tokens", F.col("known").alias("known_terms"), scores.alias("scores"), F.col("_words").alias("tokens"))
+
+    def each_copy(self, texts: DataFrame) -> DataFrame:
+        """Rows of different texts (`held_out_texts` and what is derived from it) for every given row of that text, with its ``_key``."""
         same = ["_label", "_group", "_tokens"]
-        given = self.given.select("_key", "_words", *[F.col(c).alias(f"{c}_given") for c in same])
-        each = given.join(named.hint(_PER_EXAMPLE), [F.col(f"{c}_given").eqNullSafe(F.col(c)) for c in same])
-        return each.select(
-            "configuration", F.col("_group").alias(self.group or "group"), F.col("_key").alias(self.key), F.col("_label").alias(self.label),
-            "known_terms", "scores", F.col("_words").alias("tokens"))
+        given = self.given.select("_key", *[F.col(c).alias(f"{c}_given") for c in same])
+        return given.join(texts.hint("broadcast" if self.few else _PER_EXAMPLE), [F.col(f"{c}_given").eqNullSafe(F.col(c)) for c in same]).drop(*[f"{c}_given" for c in same])
 
     def folds(self) -> DataFrame:
         """(configuration, group, n_train, n_held_out, classes_in_training, held_out_classes_absent_from_training) of each model."""
@@ -294,6 +306,7 @@ def cross_validate(examples: DataFrame, label: str = "subcategory", group: str =
     """
     fit = Fit(examples, label, configurations, group, key, text).run(max_steps, tolerance)
     rows = fit.held_out_texts().withColumn("scores", F.transform("scores", lambda s: F.coalesce(s, F.lit(-1e9))))
-    decided = M.decided(rows.withColumn("scores", F.when(F.col("known_terms") > 0, F.col("scores"))), fit.classes,
-                        "configuration", group, key, F.col(label).alias("truth"))
+    decided = M.decided(rows.withColumn("scores", F.when(F.col("known_terms") > 0, F.col("scores"))), fit.classes, "configuration", "_label", "_group", "_tokens")
+    decided = fit.each_copy(decided).select(
+        "configuration", F.col("_group").alias(group), F.col("_key").alias(key), F.col("_label").alias("truth"), "category", "subcategory", "confidence", "subcategory_confidence", "reason")
     return decided, fit.folds()

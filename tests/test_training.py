@@ -148,3 +148,35 @@ def test_copies_are_one_weighted_row(spark, rows):
     assert fit.docs.count() <= 40 and fit.docs.agg(F.sum("copies")).first()[0] == 120
     held_against(fit.run(tolerance=5e-5), tripled, WAYS[:1])
     assert fit.held_out().count() == 120
+
+
+def test_steps_take_the_tasks_that_their_features_need(spark, rows):
+    """Few different texts are fitted by few tasks, however many partitions the session has."""
+    df = spark.createDataFrame(rows[:30], "doc_id long, product_id string, subcategory string, text string")
+    before, sc = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        fit = TR.Fit(df, "subcategory", WAYS[:1], "product_id")
+        sc.setJobGroup("steps of few texts", "")
+        fit.run(max_steps=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("steps of few texts")]
+    stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds]
+    assert len(jobs) > 5 and max(s.numTasks for s in stages if s) < 64
+
+
+def test_copies_are_decided_once_and_stay_where_they_are(spark, rows, monkeypatch):
+    """Few different texts go to their copies, many meet them by a shuffle; nulls meet nulls, and both ways decide alike."""
+    odd = [("p1", None, "bleach floor stain"), ("p1", "general-food", None), (None, "general-food", "sugar milk 5 cocoa"), ("p2", "general-food", "sugar milk 7 cocoa")]
+    given = [(n, *r) for n, r in enumerate([r[1:] for r in rows[:30] * 2] + odd * 2)]
+    df = spark.createDataFrame(given, "doc_id long, product_id string, subcategory string, text string")
+    found = []
+    for few in (4 << 20, 0):
+        monkeypatch.setattr(TR, "FEW_BYTES", few, raising=False)
+        decided, _ = TR.cross_validate(df, configurations=WAYS, max_steps=2)
+        moved = [x for x in decided._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and "_given" in x]
+        assert bool(moved) == (few == 0)
+        found.append(sorted(map(repr, decided.collect())))
+    assert found[0] == found[1] and len(found[0]) == len(WAYS) * sum(g[1] is not None for g in given)
