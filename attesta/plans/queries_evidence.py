@@ -40,8 +40,8 @@ SELECT doc_id, reason, CAST(len(evidence) AS INT) AS strings, array_to_string(ev
 def classification_evidence(i):
     """Why each document was classified as it was, in the classifier's words."""
     d = i.table("documents")
-    counts = M.term_counts(d)
-    model = _toy_model(M.fit_idf(counts, d.agg(F.count(F.lit(1)).alias("n")), met_again=True))
+    counts = M.block_counts(M.in_blocks(d))
+    model = _toy_model(M.block_idf(counts, d.agg(F.count(F.lit(1)).alias("n"))))
     return E.recorded_strings(d, counts, model, _BIAS, _CLASSES).select("doc_id", "reason", F.size("evidence").alias("strings"), F.array_join("evidence", "; ").alias("evidence"))
 
 

@@ -1,5 +1,7 @@
 """Plans and forms that keep their size in check on larger tables."""
 
+from pyspark.sql import functions as F
+
 from attesta.functions import text as T
 from attesta.operators import classify as M, detect as D, training as TR
 
@@ -128,3 +130,52 @@ def test_cells_are_folded_once(spark):
         (1, "a", "net_quantity", "present_and_readable", True, False, True), (1, "a", "best_before", *blank), (1, "a", "batch_x", *blank),
         (1, "b", "net_quantity", *blank), (1, "b", "best_before", *blank), (1, "b", "-", *blank),
         (2, "a", "net_quantity", "unknown", False, True, False), (2, "a", "best_before", *blank)])
+
+
+def test_a_block_asks_for_its_terms_once(spark):
+    """Terms go by block and not by text: the weights meet the counts without a layout by text, and the results are those of the plain way."""
+    texts = ["bb aa cc aa", "aa cc dd", "", None, "dd dd 12 x5", "zz"]
+    docs = spark.createDataFrame([(n if n != 7 else None, texts[n % 6]) for n in range(40)], "doc_id long, text string").repartition(3)
+    n = docs.groupBy().count().withColumnRenamed("count", "n")
+    plain, blocks = M.term_counts(docs), M.block_counts(M.in_blocks(docs))
+    assert sorted(map(str, blocks.drop("block").collect())) == sorted(map(str, plain.collect()))
+    idf = M.block_idf(blocks, n)
+    assert sorted(idf.drop("block").distinct().collect()) == sorted(M.fit_idf(plain, n).collect())
+    weigh = lambda df: df.selectExpr("*", "array(-1D, length(term) - 2D) AS weights")
+    top = M.top_terms(blocks, weigh(idf), 1, k=2)
+    assert "Exchange hashpartitioning(doc_id" not in _plan(top) and "Exchange hashpartitioning(block" in _plan(top) and "Join [block" not in _plan(top)
+    assert sorted(map(str, top.drop("block").collect())) == sorted(map(str, M.top_terms(plain, weigh(M.fit_idf(plain, n)), 1, k=2).collect()))
+
+
+def test_evidence_is_the_same_by_block(spark):
+    """A model by block and a plain one, counts by block and plain ones; a text without a key knows no term."""
+    from attesta.operators import evidence as E
+
+    docs = spark.createDataFrame([(n if n != 3 else None, ["milk sugar cocoa", "soap soap bleach", "two words", None, "wholly other terms"][n % 5]) for n in range(1, 23)], "doc_id long, text string")
+    model = spark.createDataFrame([("milk", 1.0, [3.0, -3.0]), ("sugar", 1.0, [2.0, -3.0]), ("soap", 1.0, [-3.0, 3.0])], "term string, idf double, weights array<double>")
+    counts = M.block_counts(M.in_blocks(docs))
+    by_block = counts.select("block", "term").distinct().join(model, "term")
+    ways = [E.recorded_strings(docs, c, m, [0.0, 0.0], ["general-food", "cleaning-product"]) for c, m in ((counts, by_block), (M.term_counts(docs), model))]
+    got = [sorted(map(str, w.select("doc_id", "reason", "evidence").collect())) for w in ways]
+    assert got[0] == got[1] and len(got[0]) == 22
+    assert sum("term: \'milk\' weighed" in g or "term: 'milk' weighed" in g for g in got[0]) == 4
+    assert "Exchange hashpartitioning(doc_id" not in _plan(ways[0])
+
+
+def test_signals_run_where_their_words_are(spark):
+    import re
+
+    assert T.words_of(r"\bdish\s*wash\b|\bmoisturi[sz](?:er|ing)\b") == ["dish", "moisturi"] and T.words_of(r"\d+|x") == [""]
+    assert T.words_of(r"(?:ab|c(?i:def))?\w") == [""] and T.words_of(r"(?:abc|ab)+d") == ["ab"]
+    words = "non-vegetarian veg ins 330 dishwash exp. date tooth paste how to consume drop fizz servings per medical device dermatologically caldera md-5 reach".split(" ")
+    texts = [" ".join(words[k:k + n]) for n in (1, 2, 3, 5) for k in range(len(words))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", D.signal_hits(F.col("t")).alias("s"), D.signal_hits(F.col("t"), snippets=False).alias("p")).collect()
+    for r in got:
+        want = [name for name, _, pattern in D.V.SIGNALS if re.search(pattern, r.t)]
+        assert [s.phrase for s in r.s] == want and [s.phrase for s in r.p] == want
+
+
+def test_tokens_of_digits_are_told_by_their_first(spark):
+    df = spark.createDataFrame([("a1 99 9٣ ٣9 é2 ²x",)], "t string")
+    assert df.select(T.feature_tokens(F.col("t")).alias("k")).first().k == ["a", "<num>", "<num>", "<num>", "<num>", "é", "<num>", "x"]
