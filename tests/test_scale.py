@@ -212,3 +212,11 @@ def test_unread_declarations_take_one_scan(spark):
     want = D.unread_declarations(lines, D.extract(lines))
     rows = sorted(map(str, want.collect()))
     assert sorted(map(str, got.select(want.columns).collect())) == rows and len(rows) > 10
+
+
+def test_declarations_are_counted_without_their_values(spark):
+    lines = _odd_labels(spark)
+    got = D.keys_read(lines)
+    assert "no retail-price keyword" not in _plan(got) and "no retail-price keyword" in _plan(D.extract(lines))
+    want = sorted((r.image_id, r.field_key) for r in D.extract(lines).collect())
+    assert sorted((r.image_id, r.field_key) for r in got.collect()) == want and len(want) > 200
